@@ -7,6 +7,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import count
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Stands for a space mark that the text itself holds: a lone surrogate, which no text has.
 _OWN = "\ud800"
-CHUNK_CACHE, CHUNK_CHARS = 300_000, 64
+#: Characters of the distinct chunks that a worker remembers before it starts anew.
+CACHE_CHARS = 8_000_000
 
 
 class PieceLattice:
@@ -40,7 +42,13 @@ class PieceLattice:
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for s, _ in self.pieces.values()) - 10
+        #: Pieces by text, and None for what is only the beginning of pieces.
+        self.begun: dict[str, tuple[float, int] | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p))} | self.pieces
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.scores, self.losses, self.ids = np.zeros(1024), np.zeros(1024), []
 
     def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -53,8 +61,7 @@ class PieceLattice:
                 if (p := get(chunk[start:end])) is not None:
                     here.append((start, p[0], (p[1],)))
             if not here or here[-1][0] != end - 1:
-                letter = SPACE if chunk[end - 1] == _OWN else chunk[end - 1]
-                here.append((end - 1, self.unknown, tuple(self.bytes[b] for b in letter.encode("utf-8", "replace"))))
+                here.append((end - 1, self.unknown, self._letter(chunk[end - 1])))
             out.append(here)
         return out
 
@@ -80,14 +87,19 @@ class PieceLattice:
     def n_best(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations: backward A-star, for which the forward scores are exact.
 
-        Equal scores come in the order in which the search meets them: longest last pieces first.
+        A position is gone on from n times at most, since its n best tails hold those of the n best segmentations; so
+        the many equal scores of a repeated letter cost no more than others.  Equal scores come in the order in which
+        the search meets them: longest last pieces first.
         """
         edges = self.edges(chunk)
         best, _, _ = self.viterbi(edges)
-        tie, out = count(), []
+        tie, out, visits = count(), [], [0] * len(edges)
         heap = [(-best[-1], next(tie), len(chunk), 0.0, None)]
         while heap and len(out) < n:
             f, _, at, tail, path = heapq.heappop(heap)
+            if visits[at] >= n:
+                continue
+            visits[at] += 1
             if at == 0:
                 ids: list[int] = []
                 while path is not None:
@@ -100,14 +112,53 @@ class PieceLattice:
         return out
 
     def _best(self, chunk: str) -> tuple[float, float, bytes]:
-        edges = self.edges(chunk)
-        best, second, back = self.viterbi(edges)
-        at, ids = len(chunk), []
+        """Best score, what the second best loses, and the best ids: the Viterbi scores without a list of edges.
+
+        Goes on from each start as long as pieces begin so.  Starts come in order, so equal scores fall as in viterbi().
+        """
+        size, begun, none = len(chunk), self.begun, float("-inf")
+        best, second, back = [0.0] + [none] * size, [none] * (size + 1), [0] * (size + 1)
+        for start in range(size):
+            here, next_best = best[start], second[start]
+            end, single = start + 1, False
+            while end <= size:
+                piece = begun.get(chunk[start:end], self)
+                if piece is self:
+                    break
+                if piece is not None:
+                    single = single or end == start + 1
+                    s = here + piece[0]
+                    if s > best[end]:
+                        best[end], second[end], back[end] = s, best[end], start
+                    elif s > second[end]:
+                        second[end] = s
+                    if (s2 := next_best + piece[0]) > second[end]:
+                        second[end] = s2
+                end += 1
+            if not single:
+                end = start + 1
+                s = here + self.unknown
+                if s > best[end]:
+                    best[end], second[end], back[end] = s, best[end], start
+                elif s > second[end]:
+                    second[end] = s
+                if (s2 := next_best + self.unknown) > second[end]:
+                    second[end] = s2
+        at, cuts = size, [size]
         while at:
-            start, _, e = edges[at][back[at]]
-            ids.append(e)
-            at = start
-        return best[-1], best[-1] - second[-1], np.array([i for e in reversed(ids) for i in e], dtype="<i4").tobytes()
+            at = back[at]
+            cuts.append(at)
+        ids: list[int] = []
+        for i in range(len(cuts) - 1, 0, -1):
+            part = chunk[cuts[i] : cuts[i - 1]]
+            if (p := self.pieces.get(part)) is not None:
+                ids.append(p[1])
+            else:
+                ids += self._letter(part)
+        return best[-1], best[-1] - second[-1], pack(f"<{len(ids)}i", *ids)
+
+    def _letter(self, letter: str) -> tuple[int, ...]:
+        return tuple(self.bytes[b] for b in (SPACE if letter == _OWN else letter).encode("utf-8", "replace"))
 
     def _index(self, chunk: str) -> int:
         i = self.known.get(chunk)
@@ -118,6 +169,7 @@ class PieceLattice:
             self.scores[i], self.losses[i], ids = self._best(chunk)
             self.ids.append(ids)
             self.known[chunk] = i
+            self.held += len(chunk)
         return i
 
     def chunks(self, text: str) -> list[str]:
@@ -139,9 +191,8 @@ class PieceLattice:
         chunks = self.chunks(text)
         if not chunks:
             return b"", [(0.0, {})]
-        if len(self.ids) > CHUNK_CACHE or max(map(len, chunks)) > 100 * CHUNK_CHARS:
-            self.known.clear()
-            self.ids.clear()
+        if self.held > CACHE_CHARS:
+            self._forget()
         try:
             at = list(map(self.known.__getitem__, chunks))
         except KeyError:
