@@ -47,9 +47,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: pieces, the two best scores, CRC-32 of the ids, and whether decoding gives the text back."""
-    path = public_tokenizers.path(PIECES)
-    encoded = sentencepieces.encode_pieces(read_table(spark, sf_dir, "documents"), path)
-    return sentencepieces.digests(encoded, path)
+    return sentencepieces.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

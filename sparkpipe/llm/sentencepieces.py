@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 from struct import pack
 
@@ -237,13 +237,7 @@ def lattice(path: str) -> PieceLattice:
     return _lattices[path]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", n_best: int = 3) -> DataFrame:
-    """(doc_id, ids array<int>, scores array<double>): the best segmentation of each whole text, and the n_best scores.
-
-    Null and empty texts have no pieces and one segmentation of score 0.  Repeated rows and null ids stay.  An empty
-    table gives an empty result.  Other columns are not read.
-    """
-
+def _encoder(model_path: str, n_best: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lattice(model_path)
         for batch in batches:
@@ -255,6 +249,16 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([s for _, s in made], pa.list_(pa.float64()))], ["doc_id", "ids", "scores"])
 
+    return run
+
+
+def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", n_best: int = 3) -> DataFrame:
+    """(doc_id, ids array<int>, scores array<double>): the best segmentation of each whole text, and the n_best scores.
+
+    Null and empty texts have no pieces and one segmentation of score 0.  Repeated rows and null ids stay.  An empty
+    table gives an empty result.  Other columns are not read.
+    """
+    run = _encoder(model_path, n_best)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, ids array<int>, scores array<double>")
 
 
@@ -272,24 +276,25 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(encoded: DataFrame, model_path: str) -> DataFrame:
+def digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", n_best: int = 3) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, best_score, second_score, text_crc32): of encode_pieces' rows, text decoded back.
 
-    second_score is null where a text has one segmentation only.
+    second_score is null where a text has one segmentation only.  Encodes and decodes in one worker, which so holds one
+    lattice and passes no ids on.
     """
+    encode = _encoder(model_path, n_best)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lattice(model_path)
         names = ["doc_id", "n_pieces", "ids_crc32", "best_score", "second_score", "text_crc32"]
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                rows = []
-                for ids, scores in zip(part.column(1), part.column(2).to_pylist(), strict=True):
-                    x = ids.values.to_numpy(zero_copy_only=False)
-                    text = known.decode(x.tolist())
-                    rows.append((len(x), zlib.crc32(x.astype("<i4")), scores[0], scores[1] if len(scores) > 1 else None, zlib.crc32(text.encode())))
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
-
-    return encoded.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, best_score double, second_score double, text_crc32 long")
+        for part in encode(batches):
+            rows = []
+            for ids, scores in zip(part.column(1), part.column(2).to_pylist(), strict=True):
+                x = ids.values.to_numpy(zero_copy_only=False)
+                text = known.decode(x.tolist())
+                rows.append((len(x), zlib.crc32(x.astype("<i4")), scores[0], scores[1] if len(scores) > 1 else None, zlib.crc32(text.encode())))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, best_score double, second_score double, text_crc32 long")
