@@ -3,6 +3,7 @@ import itertools
 import os
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -150,6 +151,27 @@ def test_n_best_against_all_segmentations():
         assert len({i for _, i in each}) == len(each)
 
 
+def test_repeated_letters_and_best_path():
+    p = sentencepieces.lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    for text in ("x" * 20_000, "ab" * 5_000 + " q"):
+        ids, scores = p.encode(text, 3)
+        assert len(scores) == 3 and scores == sorted(scores, reverse=True)
+        assert p.decode(np.frombuffer(ids, "<i4").tolist()) == text
+    dice = random.Random(3)
+    for _ in range(300):
+        chunk = sentencepieces.SPACE + "".join(dice.choice("abtheé日") for _ in range(dice.randint(1, 12)))
+        best, loss, _ = p._best(chunk)
+        first, *rest = p.n_best(chunk, 2)
+        assert best == pytest.approx(first[0]) and (best - loss == pytest.approx(rest[0][0]) if rest else loss == float("inf"))
+
+
+def test_piece_digests(spark, odd, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = sentencepieces.digests(odd, path).collect()
+    assert sorted(r.text_crc32 for r in found) == sorted(zlib.crc32((r.text or "").encode()) for r in odd.collect())
+    assert sentencepieces.digests(empty, path).count() == 0
+
+
 def test_pieces_round_trip(spark, odd, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     back = sentencepieces.decode_pieces(sentencepieces.encode_pieces(odd, path), path)
