@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkpipe.llm import decontaminate, line_dedup, minhash, sentencepieces, toxicity
-from sparkpipe.llm.util import read_table, stored
+from sparkpipe.llm.util import bounded, read_table, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word-shingle similarity 0.8 stays, that of the smallest id."""
-    gone = stored(minhash.near_duplicates(docs, shingle_words=5, threshold=0.8).where("NOT kept").select("doc_id").distinct(), "gone")
+    gone = minhash.near_duplicates(docs, shingle_words=5, threshold=0.8).where("NOT kept").select("doc_id").distinct()
     return _without(docs, gone)
 
 
@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = ids.select(F.col("doc_id").alias("_gone"))
+    gone = bounded(ids.select(F.col("doc_id").alias("_gone")), "gone")
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import splittable
+from .util import bounded, splittable, stored
 
 #: Unit words that count as a unit after a number.
 UNITS = (
@@ -94,8 +94,9 @@ def contaminated(
     )
     needed = F.least(F.lit(min_windows), F.greatest(F.lit(1), F.size("tokens") - (window - 1)))
     aligned = aligned.join(items, "item_id").where(F.col("n") >= needed)
+    aligned = stored(aligned, "aligned")
     found = aligned.select(splittable("doc_id").alias("k"), "doc_id", "item_id", "shift", "n", "lo", "hi", "braw", "tokens")
-    texts = source.select(splittable("doc_id").alias("k"), "text").join(found.select("k").distinct(), "k", "left_semi")
+    texts = source.select(splittable("doc_id").alias("k"), "text").join(bounded(found.select("k").distinct(), "leaking"), "k", "left_semi")
     both = found.join(texts.select("k", raw_words(F.col("text")).alias("draw"), plain_words(F.col("text")).alias("plain")), "k").select(
         "doc_id", "item_id", "n", "lo", "hi", "shift", "braw", "tokens", "draw", template("plain").alias("dtokens")
     )

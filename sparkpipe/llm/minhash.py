@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import connected_components, splittable, stored
+from .util import bounded, connected_components, splittable, stored
 from .wordhash import shingle_set
 
 #: (rows in a band, bands): the first for all classes, the second for classes that meet in large mixed buckets.
@@ -145,17 +145,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     """
     pairs = stored(pairs, "survivors")
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    texts = stored(
-        docs.select("doc_id", "text").join(classes.join(ids, "cid", "left_semi").select("cid", "set_key", F.col("rep").alias("doc_id")), "doc_id").select("cid", "set_key", "text"),
-        "texts",
-    )
+    picked = bounded(classes.join(ids, "cid", "left_semi").select("cid", "set_key", F.col("rep").alias("doc_id")), "picked")
+    texts = stored(docs.select("doc_id", "text").join(picked, "doc_id").select("cid", "set_key", "text"), "texts")
     sized = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("chunks", F.ceil(F.col("n") / HUB_CHUNK).cast("int"))
     chunk = F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")
     members = pairs.join(sized.select(splittable("a").alias("k"), "chunks"), splittable("a") == F.col("k")).select("a", chunk.alias("chunk"), "b")
-    rows = (
+    placed = (
         sized.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select("a", "chunk", F.lit(0).alias("kind"), F.col("a").alias("cid"))
         .union(members.select("a", "chunk", F.lit(1), "b"))
-        .join(texts, "cid")
+    )
+    rows = (
+        texts.join(bounded(placed, "placed"), "cid")
         .repartition(F.col("a"), F.col("chunk"))
         .sortWithinPartitions("a", "chunk", "kind", "cid")
         .select("a", "chunk", "kind", "cid", "set_key", "text")

@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..sources.scratch import new_path, release_scratch, stored
 
-__all__ = ["connected_components", "new_path", "number_rows", "read_table", "release_scratch", "splittable", "stored"]
+__all__ = ["bounded", "connected_components", "new_path", "number_rows", "read_table", "release_scratch", "splittable", "stored"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stored rows of a few numbers each that a join may broadcast, about 40 MB as a hashed relation.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows stored, and marked for broadcast if they are counted and at most `most`; larger ones are joined by shuffle."""
+    rows = stored(rows, name)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def number_rows(spark: SparkSession, rows: list[tuple[int, ...]], schema: str) -> DataFrame:
     """Whole numbers of the driver as a local relation, without Python on the executors."""
     names = [c.split() for c in schema.split(", ")]
