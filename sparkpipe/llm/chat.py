@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import arrow_rows
+
 #: turn := OPEN role "\n" text END | OPEN_ESCAPED role "\n" text END
 OPEN, OPEN_ESCAPED, END = "<|turn|>", "<|turn:escaped|>", "<|end|>\n"
 _SEGMENTS = "conv_id long, seq long, segment string, start long, loss_start long, loss_end long"
@@ -90,7 +92,7 @@ def format_turns(conversations: DataFrame, *, id_col: str = "conv_id", turn_col:
         F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(run, _SEGMENTS)
+    return arrow_rows(ordered, run, _SEGMENTS)
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def read_back(segments: DataFrame) -> DataFrame:
         close()
         yield batch_of()
 
-    return segments.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return arrow_rows(segments, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _sql_format(role: str, text: str) -> str:

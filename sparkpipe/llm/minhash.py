@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import bounded, connected_components, splittable, stored
+from .util import arrow_rows, bounded, connected_components, splittable, stored
 from .wordhash import shingle_set
 
 #: (rows in a band, bands): the first for all classes, the second for classes that meet in large mixed buckets.
@@ -77,7 +77,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return arrow_rows(docs, run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
 def _banded(classes: DataFrame, level: int) -> DataFrame:
@@ -98,7 +98,7 @@ def _banded(classes: DataFrame, level: int) -> DataFrame:
                 cid = np.repeat(part.column(0).to_numpy(zero_copy_only=False), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array((h ^ (h >> np.uint64(31))).reshape(-1).view(np.int64))], ["cid", "band"])
 
-    return classes.select("cid", "sig").mapInArrow(run, "cid long, band long")
+    return arrow_rows(classes.select("cid", "sig"), run, "cid long, band long")
 
 
 def _hub_pairs(banded: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame, threshold: float, miss: float,
         .join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na")), "a")
         .where(few >= many * F.lit(threshold - 1e-9))
     )
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return arrow_rows(joined.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
                     right.append(cid[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long").distinct()
+    return arrow_rows(rows, run, "u long, v long").distinct()
 
 
 def _cross_pairs(banded: DataFrame, labels: DataFrame, small: int | None) -> tuple[DataFrame, DataFrame]:

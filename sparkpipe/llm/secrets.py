@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import splittable, stored
+from .util import arrow_rows, splittable, stored
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns of the base kinds.  hex runs and access keys are matched at once in the length that counts; a run that
@@ -71,7 +71,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     repo = F.xxhash64(*[F.col(f"`{c}`") for c in repo_cols])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{owner_col}`")).alias("owner"), repo.alias("repo"), F.col(text_col).alias("text"))
     schema = "doc_id long, owner long, repo long, n_assign long, n_access long, n_hex long, base_spans string, spans string, digests array<bigint>, random array<boolean>"
-    found = stored(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "secrets")
+    found = stored(arrow_rows(rows, run, schema).withColumn("row", F.monotonically_increasing_id()), "secrets")
     each = found.select("row", "owner", "repo", F.explode(F.arrays_zip("digests", "random")).alias("x")).select("row", "owner", "repo", F.col("x.digests").alias("digest"), "x.random")
     spread = each.select("digest", "owner", "repo").distinct().groupBy("digest").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
     told = each.select("row", "random", splittable("digest").alias("k")).join(spread.select(splittable("digest").alias("k"), "owners", "repos"), "k")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import arrow_rows
+
 SPACE = "▁"
 #: No piece has a space mark after another letter, so paths of the lattice meet before each run of marks.
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -259,7 +261,7 @@ def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", t
     table gives an empty result.  Other columns are not read.
     """
     run = _encoder(model_path, n_best)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, ids array<int>, scores array<double>")
+    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, ids array<int>, scores array<double>")
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -273,7 +275,7 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
                 texts = [known.decode(v.values.to_numpy(zero_copy_only=False).tolist()) if v.is_valid else None for v in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return arrow_rows(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", n_best: int = 3) -> DataFrame:
@@ -297,4 +299,4 @@ def digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_co
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, best_score double, second_score double, text_crc32 long")
+    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, n_pieces long, ids_crc32 long, best_score double, second_score double, text_crc32 long")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import arrow_rows
+
 #: WAVE format tags (fixed values).
 ALAW, MULAW, IMA = 6, 7, 17
 RATE, OUT_RATE = 8000, 16000
@@ -147,7 +149,7 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 media = [store(t + bytes(max(64, -(-len(t) // 64) * 64) - len(t)), (MULAW, ALAW, IMA)[zlib.crc32(t) % 3]) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, n_bytes long, media binary")
 
 
 def decode_media(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
@@ -167,7 +169,7 @@ def decode_media(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + [pa.array(made, pa.binary())], [part.schema.names[i] for i in keep] + ["pcm"])
 
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema if f.name != "pcm")
-    return stored.mapInArrow(run, f"{rest}, pcm binary")
+    return arrow_rows(stored, run, f"{rest}, pcm binary")
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
@@ -200,4 +202,4 @@ def media_digests(stored: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(rows, kinds, strict=True))], names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return arrow_rows(stored.select("doc_id", "n_bytes", "media"), run, schema)

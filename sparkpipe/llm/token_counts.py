@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import new_path
+from .util import arrow_rows, new_path
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 #: Words whose counts a worker remembers before it starts anew.
@@ -113,7 +113,7 @@ def count_tokens(
             n = [c.count(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n)), batch.column(0), pa.array(n, pa.int64())], ["version", "digest", "n_tokens"])
 
-    misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache_dir)
+    arrow_rows(misses, run, CACHE_SCHEMA).write.mode("append").parquet(cache_dir)
     counts = read_cache(spark, cache_dir).where(F.col("version") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     rows = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.concat("digest", F.lit(b"\0")).alias("k"))
     return (

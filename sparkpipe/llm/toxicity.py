@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import arrow_rows
+
 _WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents that a fit takes at most; all documents are scored.
 FIT_ROWS = 6000
@@ -96,7 +98,7 @@ def fit_toxicity(
                 counts.append(list(c.items()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.map_(pa.string(), pa.int64()))], ["_id", "y", "f"])
 
-    counted = rows.mapInArrow(run, "_id long, y int, f map<string,bigint>")
+    counted = arrow_rows(rows, run, "_id long, y int, f map<string,bigint>")
     # the vocabulary is cut on the executors, so that the driver gets kept features only
     kinds = {r["y"] > 0: r["n"] for r in counted.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = kinds.get(True, 0), kinds.get(False, 0)
@@ -139,4 +141,4 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_i
                 [batch.column(0), pa.array(s), pa.array(p), pa.array(np.rint(s).astype(np.int32)), pa.array(p >= cut)], ["doc_id", "severity", "p_toxic", "grade", "toxic"]
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
+    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..sources.scratch import new_path, release_scratch, stored
 
-__all__ = ["bounded", "connected_components", "new_path", "number_rows", "read_table", "release_scratch", "splittable", "stored"]
+__all__ = ["arrow_rows", "bounded", "connected_components", "new_path", "number_rows", "read_table", "release_scratch", "splittable", "stored"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +22,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
+#: Setting, Spark's default, and what takes its place: whole texts in batches of the default size fill an executor.
+ARROW_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"))
+
+
+def arrow_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in small batches; a session that has set a size other than the default keeps it."""
+    conf = rows.sparkSession.conf
+    for key, default, small in ARROW_BATCHES:
+        if conf.get(key, None) == default:
+            conf.set(key, small)
+    return rows.mapInArrow(run, schema)
+
+
 def bounded(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """rows stored, and marked for broadcast if they are counted and at most `most`; larger ones are joined by shuffle."""
     rows = stored(rows, name)
