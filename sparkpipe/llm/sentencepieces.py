@@ -40,8 +40,7 @@ class PieceLattice:
         if any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("a piece holds a space mark after a letter")
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.text = {i: p.replace(SPACE, " ") for p, (_, i) in self.pieces.items()}
-        self.byte_of = {i: b for b, i in enumerate(self.bytes)}
+        self.raw = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.pieces.items()} | {i: bytes((b,)) for b, i in enumerate(self.bytes)}
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for s, _ in self.pieces.values()) - 10
         #: Pieces by text, and None for what is only the beginning of pieces.
@@ -118,13 +117,13 @@ class PieceLattice:
 
         Goes on from each start as long as pieces begin so.  Starts come in order, so equal scores fall as in viterbi().
         """
-        size, begun, none = len(chunk), self.begun, float("-inf")
+        size, get, none = len(chunk), self.begun.get, float("-inf")
         best, second, back = [0.0] + [none] * size, [none] * (size + 1), [0] * (size + 1)
         for start in range(size):
             here, next_best = best[start], second[start]
             end, single = start + 1, False
             while end <= size:
-                piece = begun.get(chunk[start:end], self)
+                piece = get(chunk[start:end], self)
                 if piece is self:
                     break
                 if piece is not None:
@@ -216,17 +215,7 @@ class PieceLattice:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation, the inverse of encode."""
-        if set(ids).isdisjoint(self.byte_of):
-            out = "".join(map(self.text.__getitem__, ids))
-        else:
-            raw = bytearray()
-            for i in ids:
-                if i in self.byte_of:
-                    raw.append(self.byte_of[i])
-                else:
-                    raw += self.text[i].encode()
-            out = raw.decode("utf-8", "replace")
-        return out[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 _lattices: dict[str, PieceLattice] = {}
