@@ -30,32 +30,54 @@ def raw_words(text: Column) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    """The same words with names marked, in lower case and without punctuation."""
-    named = F.regexp_replace(text, r"(?<=[^\s.!?:] )\p{Lu}\S*", NAME)
+    """The same words in lower case and without punctuation, names with their mark before them."""
+    named = F.regexp_replace(text, r"(?<=[^\s.!?:] )\p{Lu}\S*", NAME + "$0")
     return F.split(F.btrim(F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{N}}\s{NUMBER}-{UNIT}]+", ""), F.lit(" \t\n\x0b\f\r")), r"\s+")
 
 
 def template(words: str) -> Column:
-    """Plain words with numbers and units marked as well.  words: a column of its own, else it's made anew for each word."""
+    """Plain words with names, numbers and units as placeholders.  words: a column of its own, else it's made anew for each word."""
     before = F.col(words)
     return F.transform(
-        words, lambda x, i: F.when(x.rlike("[0-9]"), NUMBER).when(x.isin(UNITS) & (i > 0) & F.get(before, i - 1).rlike("[0-9]"), UNIT).otherwise(x)
+        words,
+        lambda x, i: F.when(x.startswith(NAME), NAME).when(_number(x), NUMBER).when(x.isin(UNITS) & (i > 0) & _number(F.get(before, i - 1)), UNIT).otherwise(x),
     )
 
 
-def _windows(tokens: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
-    """A row per window: keep, pos (from 1), len, h.
+def literal(words: str) -> Column:
+    """Plain words without the marks of names."""
+    return F.transform(words, lambda x: F.when(x.startswith(NAME), F.substring(x, 2, 1 << 30)).otherwise(x))
 
-    The outer form of explode keeps the optimizer from making the tokens twice, for a filter before it.
+
+def _number(word: Column) -> Column:
+    return ~word.startswith(NAME) & word.rlike("[0-9]")
+
+
+def _windows(tokens: DataFrame, keep: list[str], lengths: list[int], rich_only: bool = False) -> DataFrame:
+    """Two rows per window, the hashes of its template and of its literal words: keep, pos (from 1), len, h.
+
+    rich_only: templates of too few ordinary words are left out.  The outer form of explode keeps the optimizer from
+    making the tokens twice, for a filter before it.
     """
     out = None
     for n in lengths:
         starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - (n - 1)))
-        w = tokens.select(*keep, "tokens", F.explode_outer(starts).alias("pos")).where("pos IS NOT NULL").select(*keep, "pos", F.lit(n).alias("len"), F.xxhash64(F.slice("tokens", F.col("pos"), n)).alias("h"))
+        hashes = [F.transform(c, lambda x: F.xxhash64(x)).alias(f"h_{c}") for c in ("tokens", "literal")]
+        at = tokens.select(*keep, "tokens", *hashes).select("*", F.explode_outer(starts).alias("pos")).where("pos IS NOT NULL")
+        here, words = (F.xxhash64(F.slice(f"h_{c}", F.col("pos"), n)) for c in ("tokens", "literal"))
+        both = F.array(here, words)
+        if rich_only:
+            both = F.when(_rich("tokens", F.col("pos"), F.lit(n)), both).otherwise(F.array(words))
+        w = at.select(*keep, "pos", F.lit(n).alias("len"), F.explode(both).alias("h"))
         out = w if out is None else out.union(w)
     return out
 
 
+def _rich(tokens: str, pos: Column, length: Column) -> Column:
+    """Whether the window holds enough ordinary words for its template to tell something."""
+    return F.size(F.filter(F.slice(tokens, pos, length), lambda x: ~x.isin(NUMBER, NAME, UNIT))) >= F.least(F.lit(MIN_LITERALS), length)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, min_windows: int = MIN_WINDOWS, broadcast_windows: int = BROADCAST_WINDOWS,
@@ -63,59 +85,75 @@ def contaminated(
     """(doc_id, item_id, n_windows, n_slots, reparameterised, contaminated): a row per document and item that it leaks.
 
     Numbers (words with a digit), units after a number, and names (capitalised words within a sentence) become typed
-    placeholders; other words lose case and punctuation.  Windows of `window` tokens are joined by hash.  Windows that
-    meet at one offset form an alignment; an item leaks if an alignment has min_windows of its windows, or all where
-    the item has fewer, the tokens agree, and the slots fill consistently: equal values in the item stand for equal
-    values in the document and different ones for different ones.  reparameterised tells whether a value differs.
+    placeholders; other words lose case and punctuation.  Windows of `window` tokens are joined by hash, as templates and
+    as literal words.  Windows that meet at one offset form an alignment, in which the item is then compared word by
+    word; it leaks if min_windows of its windows agree, or all where it has fewer, and the slots fill consistently:
+    equal values in the item stand for equal values in the document and different ones for different ones.  So many
+    windows of equal literal words are a leak whatever the slots.  reparameterised tells whether a value differs.
 
     Null and empty texts, and null ids, leak nothing.  Items of fewer words than a window are one window, if they have
-    three words.  Windows with fewer than MIN_LITERALS ordinary words count only beside others.  Repeated rows give one
-    row.  An empty table on either side gives an empty result.  Other columns are not read.
+    three words.  Templates with fewer than MIN_LITERALS ordinary words count only in an alignment with one that has
+    more; an item without such a one leaks by its literal words.  Repeated rows give one row.  An empty table on either side gives an empty result.  Other columns are not read.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     items = items.dropDuplicates(["item_id"]).select("item_id", "text", plain_words(F.col("text")).alias("plain"))
-    items = items.select("item_id", raw_words(F.col("text")).alias("braw"), template("plain").alias("tokens"))
+    items = items.select("item_id", raw_words(F.col("text")).alias("braw"), template("plain").alias("tokens"), literal("plain").alias("literal"))
     size = F.least(F.size("tokens"), F.lit(window))
     lengths = sorted(n for n, in items.where(F.size("tokens") >= 3).select(size).distinct().collect())  # at most `window` numbers
     spark = docs.sparkSession
     if not lengths:
         return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, n_slots long, reparameterised boolean, contaminated boolean")
-    marks = _windows(items, ["item_id", "tokens"], lengths).where(size == F.col("len"))
-    literal = F.size(F.filter(F.slice("tokens", F.col("pos"), F.col("len")), lambda x: ~x.isin(NUMBER, NAME, UNIT)))
-    marks = marks.where(literal >= F.least(F.lit(MIN_LITERALS), F.col("len"))).select("item_id", F.col("pos").alias("bpos"), "len", "h")
+    marks = _windows(items, ["item_id", "tokens"], lengths, rich_only=True).where(size == F.col("len")).select("item_id", F.col("pos").alias("bpos"), "len", "h")
     n_marks = marks.count()
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    words = source.select("doc_id", plain_words(F.col("text")).alias("plain")).select("doc_id", template("plain").alias("tokens"))
+    words = source.select("doc_id", plain_words(F.col("text")).alias("plain")).select("doc_id", template("plain").alias("tokens"), literal("plain").alias("literal"))
     spots = _windows(words, ["doc_id"], lengths)
     hit = spots.join(F.broadcast(marks) if n_marks <= broadcast_windows else marks, ["h", "len"])
-    aligned = hit.groupBy("doc_id", "item_id", (F.col("pos") - F.col("bpos")).alias("shift")).agg(
-        F.countDistinct("bpos").alias("n"), F.min("bpos").alias("lo"), F.max(F.col("bpos") + F.col("len") - 1).alias("hi")
-    )
-    needed = F.least(F.lit(min_windows), F.greatest(F.lit(1), F.size("tokens") - (window - 1)))
-    aligned = aligned.join(items, "item_id").where(F.col("n") >= needed)
+    aligned = hit.groupBy("doc_id", "item_id", (F.col("pos") - F.col("bpos")).alias("shift")).agg(F.countDistinct("bpos").alias("n"))
+    places = F.sequence(F.lit(1), F.size("tokens") - size + 1)
+    poor = F.size(F.filter(places, lambda p: ~_rich("tokens", p, size)))
+    needed = F.least(F.lit(min_windows), F.size(places))
+    items = items.withColumns({"size": size, "needed": needed, "poor": poor})
+    aligned = aligned.join(items, "item_id").where(F.col("n") >= F.greatest(F.lit(1), F.col("needed") - F.col("poor"))).drop("n", "poor")
     aligned = stored(aligned, "aligned")
-    found = aligned.select(splittable("doc_id").alias("k"), "doc_id", "item_id", "shift", "n", "lo", "hi", "braw", "tokens")
+    found = aligned.select(splittable("doc_id").alias("k"), "*")
     texts = source.select(splittable("doc_id").alias("k"), "text").join(bounded(found.select("k").distinct(), "leaking"), "k", "left_semi")
     both = found.join(texts.select("k", raw_words(F.col("text")).alias("draw"), plain_words(F.col("text")).alias("plain")), "k").select(
-        "doc_id", "item_id", "n", "lo", "hi", "shift", "braw", "tokens", "draw", template("plain").alias("dtokens")
+        *[c for c in found.columns if c != "k"], "draw", template("plain").alias("dtokens"), literal("plain").alias("dliteral")
     )
-    span = (F.col("hi") - F.col("lo") + 1).cast("int")
-    at = (F.col("lo") + F.col("shift")).cast("int")
+    first = F.greatest(F.lit(1), 1 - F.col("shift")).cast("int")
+    last = F.least(F.size("tokens"), F.size("dtokens") - F.col("shift")).cast("int")
+    at, span = (first + F.col("shift")).cast("int"), last - first + 1
     part = both.select(
-        "doc_id", "item_id", "n", F.slice("tokens", F.col("lo"), span).alias("bt"), F.slice("dtokens", at, span).alias("dt"),
-        F.transform(F.slice("braw", F.col("lo"), span), _bare).alias("b"), F.transform(F.slice("draw", at, span), _bare).alias("d"),
+        "doc_id", "item_id", "size", "needed", F.slice("tokens", first, span).alias("bt"), F.slice("dtokens", at, span).alias("dt"),
+        F.slice("literal", first, span).alias("bl"), F.slice("dliteral", at, span).alias("dl"),
+        F.transform(F.slice("braw", first, span), _bare).alias("b"), F.transform(F.slice("draw", at, span), _bare).alias("d"),
     )
-    pairs = F.filter(F.arrays_zip("bt", "dt", "b", "d"), lambda x: x["bt"].isin(NUMBER, NAME, UNIT) & (x["bt"] == x["dt"]))
-    checked = part.select("doc_id", "item_id", "n", F.transform(pairs, lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))).alias("slots"))
+    part = stored(part, "compared")  # else lambdas below would make the words of the whole text anew for each element
+    part = part.withColumn("words", F.zip_with("bl", "dl", lambda x, y: x == y))
+    part = part.withColumn("same", F.zip_with("words", F.zip_with("bt", "dt", lambda x, y: x == y), lambda x, y: x | y))
+    places = F.sequence(F.lit(1), F.size("bt") - F.col("size") + 1)
+
+    def agreeing(flags: str) -> Column:
+        return F.filter(places, lambda p: F.forall(F.slice(flags, p, F.col("size")), lambda x: x))
+
+    part = part.withColumns({"hits": agreeing("same"), "exact": F.size(agreeing("words"))}).where(F.size("hits") >= F.col("needed"))
+    lo = F.array_min("hits")
+    span = F.array_max("hits") + F.col("size") - lo
+    pairs = F.filter(F.slice(F.arrays_zip("bt", "same", "b", "d"), lo, span), lambda x: x["bt"].isin(NUMBER, NAME, UNIT) & x["same"])
+    checked = part.withColumns({"slots": F.transform(pairs, lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))), "rich": F.exists("hits", lambda p: _rich("bt", p, F.col("size")))})
     distinct = F.size(F.array_distinct("slots"))
-    fits = (distinct == F.size(F.array_distinct("slots.b"))) & (distinct == F.size(F.array_distinct("slots.d")))
+    fits = F.col("rich") & (distinct == F.size(F.array_distinct("slots.b"))) & (distinct == F.size(F.array_distinct("slots.d")))
     changed = F.exists("slots", lambda x: x["b"] != x["d"])
     return (
-        checked.where(fits).groupBy("doc_id", "item_id")
-        .agg(F.max("n").alias("n_windows"), F.max(F.size("slots")).cast("long").alias("n_slots"), F.min(changed).alias("reparameterised"))
+        checked.withColumn("fits", fits).where(F.col("fits") | (F.col("exact") >= F.col("needed"))).groupBy("doc_id", "item_id")
+        .agg(
+            F.max(F.when(F.col("fits"), F.size("hits")).otherwise(F.col("exact"))).cast("long").alias("n_windows"), F.max(F.size("slots")).cast("long").alias("n_slots"),
+            F.min(F.col("fits") & changed).alias("reparameterised"),
+        )
         .withColumn("contaminated", F.lit(True))
-    )
+    )
 
 
 def _bare(word: Column) -> Column:

@@ -56,6 +56,16 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_few_literals(spark):
+    items = ["Find the next number after 2 3 5 7 11 13 17 19", "Sort 31 7 12 99 45 8 23 54 in ascending order", "Calculate 15 plus 27", "Add 1 2 3 4 5 6 7 8 9"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"Some words before. {i} And some words after." for i in items]
+    texts += ["Then calculate 16 plus 27 now", "Find the next number after 4 6 8 9 10 12 14 15 today", "Add 2 3 4 5 6 7 8 9 10 as well", "So 31 7 12 99 45 8 23 54 in all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.reparameterised) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, 0, False), (1, 1, False), (2, 2, False), (3, 3, False), (5, 0, True)}
+
+
 def test_line_dedup_edges(odd, empty):
     got = line_dedup.drop_repeated_lines(odd)
     assert got.columns == [*odd.columns, "n_removed"]
