@@ -13,6 +13,19 @@ UNITS = (
     "inch inches foot feet ft yard yards mile miles oz lb lbs pound pounds ounce ounces gram grams liter liters litre litres meter meters metre metres "
     "dollar dollars cent cents euro euros percent degrees kmh mph"
 ).split()
+_TEENS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+#: Words that count as numbers; the hyphen of twenty-five is gone as punctuation.
+NUMBER_WORDS = (*_TEENS, *_TENS, *(t + u for t in _TENS for u in _TEENS[1:10]), *"dozen hundred thousand million billion trillion".split())
+#: Words that are no names where they are capitalised, at a sentence's beginning or in a title.
+FUNCTION_WORDS = (
+    "a an the this that these those he she it we you they i his her its our your their my and or but nor so if then else when while where who whom "
+    "whose which what why how is are was were be been am do does did has have had can could will would shall should may might must not no yes there "
+    "here in on at by for from to of with without into over under after before during since until as than because although though let each every all "
+    "both some any many much more most one two another other such only also now next first last"
+).split()
+#: A capitalised word, with what punctuation stands before it.
+_NAMED = rf"(?<!\S)[^\p{{L}}\p{{N}}\s]*(?!(?i:{'|'.join(FUNCTION_WORDS)})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\S*"
 #: Placeholders: private-use characters, which hold as word characters of their own.
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 WINDOW = 8
@@ -31,7 +44,7 @@ def raw_words(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """The same words in lower case and without punctuation, names with their mark before them."""
-    named = F.regexp_replace(text, r"(?<=[^\s.!?:] )\p{Lu}\S*", NAME + "$0")
+    named = F.regexp_replace(text, _NAMED, NAME + "$0")
     return F.split(F.btrim(F.regexp_replace(F.lower(named), rf"[^\p{{L}}\p{{N}}\s{NUMBER}-{UNIT}]+", ""), F.lit(" \t\n\x0b\f\r")), r"\s+")
 
 
@@ -50,7 +63,7 @@ def literal(words: str) -> Column:
 
 
 def _number(word: Column) -> Column:
-    return ~word.startswith(NAME) & word.rlike("[0-9]")
+    return ~word.startswith(NAME) & (word.rlike("[0-9]") | word.isin(*NUMBER_WORDS))
 
 
 def _windows(tokens: DataFrame, keep: list[str], lengths: list[int], rich_only: bool = False) -> DataFrame:
@@ -84,8 +97,8 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, reparameterised, contaminated): a row per document and item that it leaks.
 
-    Numbers (words with a digit), units after a number, and names (capitalised words within a sentence) become typed
-    placeholders; other words lose case and punctuation.  Windows of `window` tokens are joined by hash, as templates and
+    Numbers (words with a digit, number words), units after a number, and names (capitalised words that are not in
+    FUNCTION_WORDS, wherever they stand) become typed placeholders; other words lose case and punctuation.  Windows of `window` tokens are joined by hash, as templates and
     as literal words.  Windows that meet at one offset form an alignment, in which the item is then compared word by
     word; it leaks if min_windows of its windows agree, or all where it has fewer, and the slots fill consistently:
     equal values in the item stand for equal values in the document and different ones for different ones.  So many

@@ -66,6 +66,17 @@ def test_decontamination_few_literals(spark):
     assert got == {(0, 0, False), (1, 1, False), (2, 2, False), (3, 3, False), (5, 0, True)}
 
 
+def test_decontamination_placeholders(spark):
+    items = ["Sam has 5 apples. Sam eats 2 apples. How many apples does Sam have left?", "A farmer keeps twelve cows and buys three more cows at the market in spring"]
+    items += ["Which river flows through the city of Paris and reaches the Channel near Le Havre", "What is the boiling point of pure water"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["Bob has 7 apples. Bob eats 3 apples. How many apples does Bob have left?", items[1].replace("twelve", "twenty").replace("three", "forty-one"), items[2].lower()]
+    texts += ["Please answer this What is the boiling point of pure water", "Bob has 7 apples. Tim eats 3 apples. How many apples does Bob have left?"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.reparameterised) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, 0, True), (1, 1, True), (2, 2, False), (3, 3, False)}
+
+
 def test_line_dedup_edges(odd, empty):
     got = line_dedup.drop_repeated_lines(odd)
     assert got.columns == [*odd.columns, "n_removed"]
