@@ -297,6 +297,8 @@ _q("connected_components", lambda t: t.lineitem.select_rows("l_orderkey % 7 == 0
    """WITH RECURSIVE e AS (SELECT l_orderkey, l_linenumber, l_suppkey AS f, l_partkey + 1000000 AS g FROM lineitem WHERE (l_orderkey % 7 = 0 OR l_linenumber = 1) AND l_partkey <= 40),
   b AS (SELECT DISTINCT f AS x, g AS y FROM e UNION SELECT DISTINCT g, f FROM e), r AS (SELECT x AS a, x AS z FROM b UNION SELECT r.a, b.y FROM r JOIN b ON r.z = b.x), m AS (SELECT a, min(z) AS c FROM r GROUP BY a)
   SELECT l_orderkey, l_linenumber, c FROM e JOIN m ON e.f = m.a""")
+# The same over all of lineitem, without SQL: a test holds it against union-find.
+_q("connected_components_whole", lambda t: t.lineitem.extend({"f": "l_suppkey", "g": "l_partkey + 1000000"}).extend({"c": connected_components(col("f"), col("g"))}).select_columns(["l_orderkey", "l_linenumber", "c"]))
 _q("uniform", lambda t: t.nation.extend({"u": "_uniform()"}).extend({"ok": "u >= 0 and u < 1"}).select_columns(["n_nationkey", "ok"]), "SELECT n_nationkey, true AS ok FROM nation")
 _q("group_min_max", lambda t: t.events.project({"lo": "value.min()", "hi": "value.max()"}, group_by=["user_id"]), "SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
 _q("duplicate_rows", lambda t: t.lineitem.select_columns(["l_suppkey", "l_quantity", "l_tax"]).extend({"n": "(1).sum()"}, partition_by=["l_suppkey", "l_quantity", "l_tax"]).select_rows("n > 1").drop_columns(["n"]),
