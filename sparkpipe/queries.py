@@ -303,4 +303,18 @@ _q("uniform", lambda t: t.nation.extend({"u": "_uniform()"}).extend({"ok": "u >=
 _q("group_min_max", lambda t: t.events.project({"lo": "value.min()", "hi": "value.max()"}, group_by=["user_id"]), "SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
 _q("duplicate_rows", lambda t: t.lineitem.select_columns(["l_suppkey", "l_quantity", "l_tax"]).extend({"n": "(1).sum()"}, partition_by=["l_suppkey", "l_quantity", "l_tax"]).select_rows("n > 1").drop_columns(["n"]),
    "SELECT l_suppkey, l_quantity, l_tax FROM (SELECT l_suppkey, l_quantity, l_tax, count(*) OVER (PARTITION BY l_suppkey, l_quantity, l_tax) AS n FROM lineitem) WHERE n > 1")
+# joins of all customers, whose sides share three segments of five
+
+
+def _ab_whole(t: _Tables) -> tuple[Plan, Plan]:
+    a = t.customer.select_rows("c_mktsegment != 'BUILDING'").extend({"k": "c_custkey", "bal": "(c_acctbal > 5000).if_else(None, c_acctbal)"}).select_columns(["k", "bal", "c_name"])
+    b = t.customer.select_rows("c_mktsegment != 'MACHINERY'").extend({"k": "c_custkey", "bal": "c_acctbal + 1"}).select_columns(["k", "bal", "c_mktsegment"])
+    return a, b
+
+
+_AB_WHOLE = """a AS (SELECT c_custkey AS k, CASE WHEN NOT c_acctbal > 5000 THEN c_acctbal END AS bal, c_name FROM customer WHERE c_mktsegment <> 'BUILDING'),
+  b AS (SELECT c_custkey AS k, c_acctbal + 1 AS bal, c_mktsegment FROM customer WHERE c_mktsegment <> 'MACHINERY')"""
+for _name, _kind in (("join_inner", "INNER"), ("join_left_coalesce", "LEFT"), ("join_right", "RIGHT"), ("join_full", "FULL"), ("join_outer", "OUTER")):
+    _q(f"{_name}_whole", lambda t, kind=_kind: (lambda a, b: a.natural_join(b, on="k", jointype=kind))(*_ab_whole(t)),
+       f"WITH {_AB_WHOLE} SELECT coalesce(a.k, b.k) AS k, coalesce(a.bal, b.bal) AS bal, c_name, c_mktsegment FROM a {'FULL' if _kind == 'OUTER' else _kind} JOIN b ON a.k = b.k")
 __all__ = ["ORACLES", "QUERIES", "Lit", "call", "pricing_summary"]

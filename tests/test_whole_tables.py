@@ -1,3 +1,6 @@
+import duckdb
+import pytest
+
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +21,15 @@ def test_components_of_all_rows(spark):
         up[b] = a
     want = sorted((o, n, root(f)) for o, n, f, _ in edges)
     assert sorted(map(tuple, entry.queries()["connected_components_whole"](spark, SF).collect())) == want
+
+
+@pytest.mark.parametrize("name", ["join_inner_whole", "join_left_coalesce_whole", "join_right_whole", "join_full_whole", "join_outer_whole"])
+def test_joins_of_all_customers(spark, name):
+    folder = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet'")
+    got = [tuple(r) for r in entry.queries()[name](spark, folder).select("k", "bal", "c_name", "c_mktsegment").collect()]
+    want = c.sql(f"SELECT k, bal, c_name, c_mktsegment FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    everyone, both = c.sql("SELECT count(*), count(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) FROM customer").fetchall()[0]
+    assert len(got) > 150 and (len(got) == everyone if name in ("join_full_whole", "join_outer_whole") else both <= len(got) < everyone)
