@@ -213,6 +213,11 @@ class PieceLattice:
                 paths = sorted(more, key=lambda x: x[0])[:n]
         return ids, [(total - lost, c) for lost, c in paths]
 
+    def model_ids(self, text: str) -> bytes | None:
+        """The library's own ids (little-endian int32), by the model's merges; None if they don't give the text back."""
+        ids = self.library.encode(text)
+        return pack(f"<{len(ids)}i", *ids) if self.library.unk_id() not in ids and self.decode(ids) == text else None
+
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation, the inverse of encode."""
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -234,7 +239,8 @@ def _encoder(model_path: str, n_best: int) -> Callable[[Iterator[pa.RecordBatch]
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                made = [known.encode(t.as_py() or "", n_best) for t in part.column(1)]
+                texts = [t.as_py() or "" for t in part.column(1)]
+                made = [(best if (own := known.model_ids(t)) is None else own, scores) for t in texts for best, scores in (known.encode(t, n_best),)]
                 values = np.frombuffer(b"".join(x for x, _ in made), "<i4")
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x, _ in made]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
@@ -244,7 +250,9 @@ def _encoder(model_path: str, n_best: int) -> Callable[[Iterator[pa.RecordBatch]
 
 
 def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", n_best: int = 3) -> DataFrame:
-    """(doc_id, ids array<int>, scores array<double>): the best segmentation of each whole text, and the n_best scores.
+    """(doc_id, ids array<int>, scores array<double>): the library's encoding of each whole text, and the lattice's n_best scores.
+
+    A text that the library's ids don't give back, such as one that holds a space mark, has the lattice's best ids.
 
     Null and empty texts have no pieces and one segmentation of score 0.  Repeated rows and null ids stay.  An empty
     table gives an empty result.  Other columns are not read.
