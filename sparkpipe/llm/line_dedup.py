@@ -6,106 +6,102 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .util import splittable, stored
+from .util import free_names, splittable, stored
 
-#: Lines of more characters are cut at sentence ends, so that a passage written as one line has windows too.
-LONG_LINE = 200
-#: Windows of fewer bytes say too little to be taken for a repetition.
-MIN_BYTES = 24
+#: Line ends and sentence ends, where a line that isn't blank follows.
+_CUT = r"(?<=\n|[.!?] )(?=[ \t\r]*[^ \t\r\n])"
+_BLANK = " \t\r\n"
 
 
-def lines_of(text: Column, long_line: int = LONG_LINE) -> Column:
-    """The lines of a text, each with its separator at its end; together they are the text."""
-    cut = F.transform(F.split(text, r"(?<=\n)"), lambda x: F.when(F.length(x) > long_line, F.split(x, r"(?<=[.!?] )")).otherwise(F.array(x)))
-    return F.flatten(cut)
+def lines_of(text: Column) -> Column:
+    """The lines of a text: cut at line ends and after `. `, `! ` and `? `; blank lines go with the line before them."""
+    return F.split(F.substring(text, F.length(_lead(text)) + 1, F.lit(1 << 30)), _CUT)
 
 
-def _covered(windows: DataFrame, window: int) -> DataFrame:
-    """(id, flags): flags[i] says whether line i + 1 is covered by a later occurrence; lines after the flags are not."""
-    repeated = windows.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("first"), F.max(F.struct("id", "pos")).alias("last")).where("NOT first <=> last")
-    later = (
-        windows.select(splittable("h").alias("k"), F.struct("id", "pos").alias("here")).join(repeated.select(splittable("h").alias("k"), "first"), "k")
-        .where("NOT here <=> first").select("here.id", "here.pos")
-    )
-    by_doc = Window.partitionBy("id").orderBy("pos")
-    before = F.lag("pos").over(by_doc)
-    island = later.distinct().withColumn("new", F.when(F.col("pos") <= before + window, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_doc))
-    runs = island.groupBy("id", "island").agg(F.min("pos").alias("start"), (F.max("pos") + window - 1).alias("stop"))
-    runs = runs.withColumn("free", F.col("start") - 1 - F.coalesce(F.lag("stop").over(Window.partitionBy("id").orderBy("start")), F.lit(0)))
-    listed = runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "free", (F.col("stop") - F.col("start") + 1).alias("gone")))).alias("runs"))
-    flags = F.flatten(F.transform("runs", lambda r: F.concat(F.array_repeat(F.lit(False), r["free"].cast("int")), F.array_repeat(F.lit(True), r["gone"].cast("int")))))
-    return listed.select("id", flags.alias("flags"))
-
+def _lead(text: Column) -> Column:
+    """Blank lines before the first line."""
+    return F.regexp_extract(text, r"^[ \t\r\n]*\n(?=[ \t\r]*[^ \t\r\n])", 0)
 
-def _all_lines() -> Column:
-    """The flags _covered of the lines at _full carried over to all _lines: blank ones go if the full ones around them go."""
 
-    def flag(r: Column) -> Column:
-        return F.coalesce(F.get("_covered", r), F.lit(False))
+def _windows(docs: DataFrame, lines: Column, window: int, min_bytes: int) -> DataFrame:
+    """(id, content, pos, h): one row per window of a document."""
+    trimmed = docs.select("id", "content", F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(_BLANK))), lambda x: x != "").alias("lines"))
+    hashed = trimmed.select("id", "content", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.octet_length(x).alias("n"))).alias("lines"))
+    whole = F.col("lines")
+    for i in range(1, window):
+        here = F.when(F.size("lines") > i, F.slice("lines", i + 1, F.greatest(F.size("lines") - i, F.lit(0))))
+        whole = F.zip_with(whole, here, lambda a, b: F.struct(F.xxhash64(a["h"], b["h"]).alias("h"), (a["n"] + b["n"]).alias("n")))
+    full = F.when(F.size("lines") >= window, F.slice(whole, 1, F.greatest(F.size("lines") - (window - 1), F.lit(1))))
+    at = hashed.select("id", "content", F.posexplode(full).alias("pos", "w"))
+    return at.where(F.col("w.n") >= min_bytes).select("id", "content", (F.col("pos") + 1).alias("pos"), F.col("w.h").alias("h"))
 
-    def run(at: Column, r: Column) -> Column:
-        blank = F.coalesce(F.get("_full", r + 1), F.size("_lines") + 1) - at - 1
-        return F.concat(F.array(flag(r)), F.array_repeat(flag(r) & flag(r + 1), blank))
 
-    return F.concat(F.array_repeat(F.lit(False), F.element_at("_full", 1) - 1), F.flatten(F.transform("_full", run)))
+def _covered(windows: DataFrame, window: int) -> DataFrame:
+    """(id, content, flags): flags[i] says whether line i + 1 is covered by a later occurrence; lines after the flags are not."""
+    repeated = windows.groupBy("h").agg(F.min(F.struct("id", "content", "pos")).alias("first"), F.max(F.struct("id", "content", "pos")).alias("last")).where("NOT first <=> last")
+    later = (
+        windows.select(splittable("h").alias("k"), F.struct("id", "content", "pos").alias("here")).join(repeated.select(splittable("h").alias("k"), "first"), "k")
+        .where("NOT here <=> first").select("here.id", "here.content", "here.pos")
+    )
+    by_doc = Window.partitionBy("id", "content")
+    before = F.lag("pos").over(by_doc.orderBy("pos"))
+    island = later.distinct().withColumn("new", F.when(F.col("pos") <= before + window, 0).otherwise(1)).withColumn("island", F.sum("new").over(by_doc.orderBy("pos")))
+    runs = island.groupBy("id", "content", "island").agg(F.min("pos").alias("start"), (F.max("pos") + window - 1).alias("stop"))
+    runs = runs.withColumn("free", F.col("start") - 1 - F.coalesce(F.lag("stop").over(by_doc.orderBy("start")), F.lit(0)))
+    listed = runs.groupBy("id", "content").agg(F.array_sort(F.collect_list(F.struct("start", "free", (F.col("stop") - F.col("start") + 1).alias("gone")))).alias("runs"))
+    flags = F.flatten(F.transform("runs", lambda r: F.concat(F.array_repeat(F.lit(False), r["free"].cast("int")), F.array_repeat(F.lit(True), r["gone"].cast("int")))))
+    return listed.select("id", "content", flags.alias("flags"))
 
 
-def drop_repeated_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 3, min_bytes: int = MIN_BYTES, long_line: int = LONG_LINE
-) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 3, min_bytes: int = 0) -> DataFrame:
     """docs with text_col cleaned, plus n_removed (long): the lines that went.
 
-    A window is `window` consecutive lines that aren't blank, equal if the trimmed lines are.  Of each window that occurs more than once,
-    in one document or in several, the occurrence at the smallest (id, position) stays and the lines of the others go;
-    overlapping windows go as one run, with the blank lines inside.  Windows of fewer than min_bytes bytes don't count.
-    Lines longer than long_line characters count as several, cut after `. `, `! ` and `? `, so that a long passage
-    without line breaks has windows too.
+    Lines end at line breaks and at sentence ends (`. `, `! `, `? `), whatever their length, so that a passage on one
+    line has windows too.  Blank lines don't count and go or stay with the line before them.  A window is `window`
+    consecutive lines, equal if the trimmed lines are.  Of each window that occurs more than once, in one document or in
+    several, the occurrence at the smallest (id, content, position) stays and the lines of the others go; overlapping
+    windows go as one run.  min_bytes is a policy for windows that say too little: those of fewer bytes don't count.
 
-    Null texts stay null, empty and shorter texts stay as they are.  A null id sorts first; rows without one count as
-    one document.  Rows repeated with one id and text lose nothing to each other and the same to others.  Columns of
+    Null texts stay null, empty and shorter texts stay as they are.  A row is known by its id and its content's hash, so
+    rows of one id, or without one, that differ in text are documents of their own; a null id sorts first.  Rows
+    repeated with one id and text are one document: they lose nothing to each other and the same to others.  Columns of
     other names pass through; an n_removed that docs has is replaced.  An empty table gives an empty result.
     """
-    lines = F.transform(lines_of(F.col(text_col), long_line), lambda x: F.btrim(x, F.lit(" \n\r\t")))
-    lined = docs.select(F.col(id_col).cast("long").alias("id"), F.filter(lines, lambda x: x != "").alias("lines"))
-    starts = F.when(F.size("lines") >= window, F.sequence(F.lit(1), F.size("lines") - (window - 1)))
-    at = lined.select("id", "lines", F.explode_outer(starts).alias("pos")).where("pos IS NOT NULL")  # not outer, the lines would be made twice
-    part = [F.element_at("lines", F.col("pos") + i) for i in range(window)]
-    full = sum((F.octet_length(p) for p in part[1:]), F.octet_length(part[0])) >= min_bytes
-    windows = at.select("id", "pos", F.when(full, F.xxhash64(*part)).alias("h")).where("h IS NOT NULL")
-    covered = _covered(stored(windows, "windows"), window).select(F.col("id").alias("_covered_id"), F.col("flags").alias("_covered"))
+    key = {"id": F.col(f"`{id_col}`").cast("long"), "content": F.xxhash64(F.col(f"`{text_col}`"))}
+    source = docs.select(*[c.alias(n) for n, c in key.items()], F.col(f"`{text_col}`").alias("text"))
+    covered = _covered(stored(_windows(source, lines_of(F.col("text")), window, min_bytes), "windows"), window)
 
     names = [c for c in docs.columns if c != "n_removed"]
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(covered, F.col(id_col).cast("long").eqNullSafe(F.col("_covered_id")), "left")
-    joined = joined.withColumn("_lines", F.when(F.col("_covered").isNotNull(), lines_of(F.col(text_col), long_line)))
-    joined = joined.withColumn("_full", F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: F.btrim(F.element_at("_lines", i), F.lit(" \n\r\t")) != ""))
-    joined = joined.withColumn("_gone", _all_lines())
-    left = F.array_join(F.zip_with("_lines", "_gone", lambda x, gone: F.when(gone, "").otherwise(x)), "")
-    text = F.when(F.col("_covered").isNull(), F.col(text_col)).otherwise(left)
-    gone = F.when(F.col("_covered").isNull(), 0).otherwise(F.size(F.filter("_gone", lambda x: x)))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], gone.cast("long").alias("n_removed"))
-
-
-#: For texts without blank lines, as in the given tables: here a window with one doesn't count.
-#: DuckDB SQL for doc_id, text, n_removed over the table documents.
-ORACLE = rf"""
-WITH phys AS (
-  SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS l, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) AS p FROM documents
-), lines AS (
-  SELECT doc_id, p, unnest(pieces) AS l, generate_subscripts(pieces, 1) AS q FROM (
-    SELECT doc_id, p, CASE WHEN length(l) > {LONG_LINE} THEN regexp_extract_all(l, '(?s).*?[.!?] |.+') ELSE [l] END AS pieces FROM phys)
+    at, content, flags, lines = free_names(docs, "at", "content", "flags", "lines")
+    covered = covered.select(F.col("id").alias(at), F.col("content").alias(content), F.col("flags").alias(flags))
+    own = docs.select(*[F.col(f"`{c}`") for c in names])
+    joined = own.join(covered, key["id"].eqNullSafe(F.col(at)) & (key["content"] == F.col(content)), "left")
+    text, marked = F.col(f"`{text_col}`"), F.col(flags).isNotNull()
+    joined = joined.withColumn(lines, F.when(marked, lines_of(text)))
+    left = F.zip_with(lines, flags, lambda x, gone: F.when(F.coalesce(gone, F.lit(False)), "").otherwise(x))
+    cleaned = F.when(marked, F.concat(_lead(text), F.array_join(left, ""))).otherwise(text)
+    gone = F.coalesce(F.size(F.filter(flags, lambda x: x)), F.lit(0)).cast("long")
+    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in names], F.when(marked, gone).otherwise(0).alias("n_removed"))
+
+
+#: DuckDB SQL for doc_id, text, n_removed over the table documents, whose ids differ.
+ORACLE = r"""
+WITH units AS (
+  SELECT doc_id, regexp_extract_all(text, '[ \t\r]*(?:[.!?] |[^ \t\r\n][^\n]*?(?:\n|[.!?] |$))(?:[ \t\r]*\n)*(?:[ \t\r]+$)?') AS u FROM documents
 ), numbered AS (
-  SELECT doc_id, l, trim(l, ' ' || chr(10) || chr(13) || chr(9)) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY p, q) AS pos FROM lines
+  SELECT doc_id, unnest(u) AS l, generate_subscripts(u, 1) AS pos FROM units
+), trimmed AS (
+  SELECT *, trim(l, ' ' || chr(10) || chr(13) || chr(9)) AS t FROM numbered
 ), win AS (
-  SELECT doc_id, pos, t AS a, lead(t, 1) OVER w AS b, lead(t, 2) OVER w AS c FROM numbered WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, pos, t AS a, lead(t, 1) OVER w AS b, lead(t, 2) OVER w AS c FROM trimmed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ), full_win AS (
-  SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS nth FROM win
-  WHERE a <> '' AND b <> '' AND c <> '' AND strlen(a) + strlen(b) + strlen(c) >= {MIN_BYTES}
+  SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS nth FROM win WHERE c IS NOT NULL
 ), gone AS (
   SELECT DISTINCT doc_id, pos + i AS pos FROM full_win, (VALUES (0), (1), (2)) v(i) WHERE nth > 1
 ), counted AS (
   SELECT n.doc_id, count(g.pos) AS n_removed, coalesce(string_agg(l, '' ORDER BY n.pos) FILTER (WHERE g.pos IS NULL), '') AS text
   FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.pos = g.pos GROUP BY n.doc_id
 )
-SELECT d.doc_id, CASE WHEN d.text IS NULL OR d.text = '' THEN d.text ELSE c.text END AS text, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
+SELECT d.doc_id, CASE WHEN n_removed > 0 THEN regexp_extract(d.text, '^(?:[ \t\r]*\n)*') || c.text ELSE d.text END AS text, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
 FROM documents d LEFT JOIN counted c ON d.doc_id = c.doc_id
 """

@@ -11,13 +11,25 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..sources.scratch import new_path, release_scratch, stored
 
-__all__ = ["arrow_rows", "bounded", "connected_components", "new_path", "number_rows", "read_table", "release_scratch", "splittable", "stored"]
+__all__ = ["arrow_rows", "bounded", "connected_components", "free_names", "new_path", "number_rows", "read_table", "release_scratch", "splittable", "stored"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that df has no column of, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for w in wanted:
+        name = f"_{w}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Stored rows of a few numbers each that a join may broadcast, about 40 MB as a hashed relation.
 BROADCAST_ROWS = 500_000
 
