@@ -21,14 +21,59 @@ SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Stands for a space mark that the text itself holds: a lone surrogate, which no text has.
 _OWN = "\ud800"
-#: Characters of the distinct chunks that a worker remembers before it starts anew.
-CACHE_CHARS = 8_000_000
+#: Distinct chunks, and their characters, that a worker remembers before it starts anew: some 60 MB.
+CACHE_CHUNKS, CACHE_CHARS = 200_000, 4_000_000
+#: Chunks of more characters are solved one by one, all others together.
+SHORT = 48
+#: Characters of texts that are taken apart together.
+PART_CHARS = 300_000
+
+
+class _Trie:
+    """The model's pieces as a hash table of (node, letter) in numpy: one look-up steps many walks at once."""
+
+    def __init__(self, pieces: dict[str, tuple[float, int]]):
+        prefixes = sorted({p[:i] for p in pieces for i in range(1, len(p) + 1)}, key=len)
+        node = {"": 0} | {p: i for i, p in enumerate(prefixes, 1)}
+        letters = sorted({p[-1] for p in prefixes})
+        self.letter = np.zeros(0x110000, dtype=np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        place = {c: i for i, c in enumerate(letters, 1)}
+        keys = np.array([node[p[:-1]] * self.width + place[p[-1]] for p in prefixes], dtype=np.int64)
+        self.score = np.array([np.nan] + [pieces[p][0] if p in pieces else np.nan for p in prefixes])
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.nodes = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
+        todo, at = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[todo[free]]  # of several for one slot the last one stays
+            here = self.keys[at] == keys[todo]
+            self.nodes[at[here]] = todo[here] + 1
+            todo, at = todo[~here], (at[~here] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The child of each node by its letter, 0 where there is none."""
+        keys = nodes.astype(np.int64) * self.width + letters
+        at, out = self._slot(keys), np.zeros(len(keys), dtype=np.int32)
+        todo = np.flatnonzero(letters)
+        while len(todo):
+            found = self.keys[at[todo]]
+            hit = found == keys[todo]
+            out[todo[hit]] = self.nodes[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+        return out
 
 
 class PieceLattice:
     """The lattice of a model's pieces: a segmentation's score is the sum of its pieces' scores.
 
-    A letter without a piece is an edge of its UTF-8 byte pieces, at the lowest score less 10.
+    A letter without a piece is an edge of its UTF-8 byte pieces, at the lowest score less 10.  The library merges
+    within a piece's reach only, so its ids of a text are those of its chunks, one after another.
     """
 
     def __init__(self, path: str):
@@ -43,14 +88,14 @@ class PieceLattice:
         self.raw = {i: p.replace(SPACE, " ").encode() for p, (_, i) in self.pieces.items()} | {i: bytes((b,)) for b, i in enumerate(self.bytes)}
         self.longest = max(map(len, self.pieces))
         self.unknown = min(s for s, _ in self.pieces.values()) - 10
-        #: Pieces by text, and None for what is only the beginning of pieces.
-        self.begun: dict[str, tuple[float, int] | None] = {p[:i]: None for p in self.pieces for i in range(1, len(p))} | self.pieces
-        self._forget()
+        self.trie = _Trie(self.pieces)
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Empties the cache of chunks."""
         self.known: dict[str, int] = {}
         self.held = 0
-        self.scores, self.losses, self.ids = np.zeros(1024), np.zeros(1024), []
+        self.scores, self.losses, self.ids = np.zeros(0), np.zeros(0), []
 
     def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end, the (start, score, ids) of the edges that lead there, longest first."""
@@ -112,92 +157,114 @@ class PieceLattice:
                 heapq.heappush(heap, (-(best[start] + score + tail), next(tie), start, score + tail, (ids, path)))
         return out
 
-    def _best(self, chunk: str) -> tuple[float, float, bytes]:
-        """Best score, what the second best loses, and the best ids: the Viterbi scores without a list of edges.
-
-        Goes on from each start as long as pieces begin so.  Starts come in order, so equal scores fall as in viterbi().
-        """
-        size, get, none = len(chunk), self.begun.get, float("-inf")
-        best, second, back = [0.0] + [none] * size, [none] * (size + 1), [0] * (size + 1)
-        for start in range(size):
-            here, next_best = best[start], second[start]
-            end, single = start + 1, False
-            while end <= size:
-                piece = get(chunk[start:end], self)
-                if piece is self:
-                    break
-                if piece is not None:
-                    single = single or end == start + 1
-                    s = here + piece[0]
-                    if s > best[end]:
-                        best[end], second[end], back[end] = s, best[end], start
-                    elif s > second[end]:
-                        second[end] = s
-                    if (s2 := next_best + piece[0]) > second[end]:
-                        second[end] = s2
-                end += 1
-            if not single:
-                end = start + 1
-                s = here + self.unknown
-                if s > best[end]:
-                    best[end], second[end], back[end] = s, best[end], start
-                elif s > second[end]:
-                    second[end] = s
-                if (s2 := next_best + self.unknown) > second[end]:
-                    second[end] = s2
-        at, cuts = size, [size]
-        while at:
-            at = back[at]
-            cuts.append(at)
-        ids: list[int] = []
-        for i in range(len(cuts) - 1, 0, -1):
-            part = chunk[cuts[i] : cuts[i - 1]]
-            if (p := self.pieces.get(part)) is not None:
-                ids.append(p[1])
-            else:
-                ids += self._letter(part)
-        return best[-1], best[-1] - second[-1], pack(f"<{len(ids)}i", *ids)
+    def _alone(self, chunk: str) -> tuple[float, float]:
+        """Best score and what the second best loses, for one chunk."""
+        best, second, _ = self.viterbi(self.edges(chunk))
+        return best[-1], best[-1] - second[-1]
+
+    def solve(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Best scores, and what the second best lose: the forward Viterbi of many short chunks at once."""
+        lens = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        letter = self.trie.letter[code]
+        first = np.cumsum(lens) - lens
+        place = np.arange(len(code)) - np.repeat(first, lens)
+        left = np.repeat(lens, lens) - place
+        point = np.arange(len(code)) + np.repeat(np.arange(len(chunks)), lens)  # a chunk has a point more than letters
+        walk, node = np.arange(len(code)), np.zeros(len(code), dtype=np.int32)
+        starts, widths, scores = [], [], []
+        for depth in range(1, self.longest + 1):
+            node = self.trie.step(node, letter[walk + depth - 1])
+            score = self.trie.score[node]
+            piece = ~np.isnan(score)
+            if depth == 1:
+                piece, score = np.ones(len(walk), dtype=bool), np.where(piece, score, self.unknown)
+            starts.append(walk[piece])
+            widths.append(np.full(np.count_nonzero(piece), depth))
+            scores.append(score[piece])
+            on = (node > 0) & (left[walk] > depth)
+            walk, node = walk[on], node[on]
+            if not len(walk):
+                break
+        start, width, score = np.concatenate(starts), np.concatenate(widths), np.concatenate(scores)
+        total = len(code) + len(chunks)
+        order = np.argsort((place[start] + width) * total + point[start] + width, kind="stable")
+        start, width, score = start[order], width[order], score[order]
+        source, target, end = point[start], point[start] + width, place[start] + width
+        best, second = np.full(total, -np.inf), np.full(total, -np.inf)
+        best[first + np.arange(len(chunks))] = 0.0
+        cuts = np.searchsorted(end, np.arange(1, end[-1] + 2))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            at = target[lo:hi]
+            group = np.flatnonzero(np.diff(at, prepend=-1))
+            new = best[source[lo:hi]] + score[lo:hi]
+            most = np.maximum.reduceat(new, group)
+            counts = np.diff(group, append=hi - lo)
+            winners = np.flatnonzero(new == np.repeat(most, counts))
+            winners = winners[np.diff(at[winners], prepend=-1) != 0]  # one a point: an equal one is the second best
+            new[winners] = -np.inf
+            best[at[group]] = most
+            second[at[group]] = np.maximum(np.maximum.reduceat(new, group), np.maximum.reduceat(second[source[lo:hi]] + score[lo:hi], group))
+        last = first + np.arange(len(chunks)) + lens
+        return best[last], best[last] - second[last]
 
     def _letter(self, letter: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in (SPACE if letter == _OWN else letter).encode("utf-8", "replace"))
 
-    def _index(self, chunk: str) -> int:
-        i = self.known.get(chunk)
-        if i is None:
-            i = len(self.ids)
-            if i >= len(self.scores):
-                self.scores, self.losses = np.concatenate((self.scores, np.zeros(i))), np.concatenate((self.losses, np.zeros(i)))
-            self.scores[i], self.losses[i], ids = self._best(chunk)
-            self.ids.append(ids)
-            self.known[chunk] = i
-            self.held += len(chunk)
-        return i
+    def _model_ids(self, chunks: list[str]) -> list[bytes]:
+        """The library's own ids (little-endian int32) of each chunk; the lattice's best where they don't give it back."""
+        plain = [c[1:].replace(SPACE, " ") if c[0] == SPACE and _OWN not in c else "" for c in chunks]
+        out = []
+        for chunk, text, ids in zip(chunks, plain, self.library.encode(plain, num_threads=1), strict=True):
+            if b"".join(self.raw.get(i, b"") for i in ids) != b" " + text.encode("utf-8", "replace") or not text and chunk != SPACE:
+                ids = self.n_best(chunk, 1)[0][1]
+            out.append(pack(f"<{len(ids)}i", *ids))
+        return out
+
+    def learn(self, chunks: list[str]) -> None:
+        """Takes new distinct chunks into the cache."""
+        short = [c for c in chunks if len(c) <= SHORT]
+        long = [c for c in chunks if len(c) > SHORT]
+        best, loss = self.solve(short) if short else (np.zeros(0), np.zeros(0))
+        alone = np.array([self._alone(c) for c in long]).reshape(-1, 2)
+        self.known |= {c: i for i, c in enumerate(short + long, len(self.ids))}
+        self.scores, self.losses = np.concatenate((self.scores, best, alone[:, 0])), np.concatenate((self.losses, loss, alone[:, 1]))
+        self.ids += self._model_ids(short + long)
+        self.held += sum(map(len, chunks))
 
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
         return _CHUNK.findall(SPACE + text.replace(SPACE, _OWN).replace(" ", SPACE) if SPACE in text else SPACE + text.replace(" ", SPACE))
 
+    def encode_all(self, texts: list[str], n: int) -> Iterator[tuple[bytes, list[tuple[float, dict[int, tuple[int, ...]]]]]]:
+        """encode_n_best of each text; their new chunks are solved together."""
+        if len(self.known) > CACHE_CHUNKS or self.held > CACHE_CHARS:
+            self.forget()
+        taken = [self.chunks(t) for t in texts]
+        new = dict.fromkeys(c for chunks in taken for c in chunks if c not in self.known)
+        if new:
+            self.learn(list(new))
+        for chunks in taken:
+            yield self._n_best_of(chunks, n)
+
     def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
-        """The best segmentation's ids (little-endian int32) and the n best scores of the whole text."""
-        best, choices = self.encode_n_best(text, n)
-        return best, [s for s, _ in choices]
+        """The model's ids (little-endian int32) and the n best scores of the whole text's lattice."""
+        ids, choices = self.encode_n_best(text, n)
+        return ids, [s for s, _ in choices]
 
     def encode_n_best(self, text: str, n: int) -> tuple[bytes, list[tuple[float, dict[int, tuple[int, ...]]]]]:
-        """The best ids, and for each of the n best its score and the chunks in which it differs, with their ids.
+        """The model's ids, and for each of the n best its score and the chunks in which it differs from the best, with their ids.
 
         Chunks are independent, so only the n - 1 whose second segmentation loses least can differ within the n best:
         A-star runs on these alone.
         """
-        chunks = self.chunks(text)
+        return next(self.encode_all([text], n))
+
+    def _n_best_of(self, chunks: list[str], n: int) -> tuple[bytes, list[tuple[float, dict[int, tuple[int, ...]]]]]:
         if not chunks:
             return b"", [(0.0, {})]
-        if self.held > CACHE_CHARS:
-            self._forget()
-        try:
-            at = list(map(self.known.__getitem__, chunks))
-        except KeyError:
-            at = list(map(self._index, chunks))
+        at = list(map(self.known.__getitem__, chunks))
         where = np.array(at)
         ids = b"".join(map(self.ids.__getitem__, at))
         total, loss = float(self.scores[where].sum()), self.losses[where]
@@ -213,11 +280,6 @@ class PieceLattice:
                 paths = sorted(more, key=lambda x: x[0])[:n]
         return ids, [(total - lost, c) for lost, c in paths]
 
-    def model_ids(self, text: str) -> bytes | None:
-        """The library's own ids (little-endian int32), by the model's merges; None if they don't give the text back."""
-        ids = self.library.encode(text)
-        return pack(f"<{len(ids)}i", *ids) if self.library.unk_id() not in ids and self.decode(ids) == text else None
-
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation, the inverse of encode."""
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -233,18 +295,28 @@ def lattice(path: str) -> PieceLattice:
     return _lattices[path]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch whose texts have PART_CHARS characters or so, a text at least."""
+    lo, chars, texts = 0, 0, []
+    for i, t in enumerate(batch.column(1)):
+        texts.append(t.as_py() or "")
+        chars += len(texts[-1])
+        if chars >= PART_CHARS or i == batch.num_rows - 1:
+            yield batch.slice(lo, i + 1 - lo), texts
+            lo, chars, texts = i + 1, 0, []
+
+
 def _encoder(model_path: str, n_best: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lattice(model_path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts = [t.as_py() or "" for t in part.column(1)]
-                made = [(best if (own := known.model_ids(t)) is None else own, scores) for t in texts for best, scores in (known.encode(t, n_best),)]
+            for part, texts in _parts(batch):
+                made = [(ids, [s for s, _ in paths]) for ids, paths in known.encode_all(texts, n_best)]
                 values = np.frombuffer(b"".join(x for x, _ in made), "<i4")
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x, _ in made]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([s for _, s in made], pa.list_(pa.float64()))], ["doc_id", "ids", "scores"])
+        known.forget()  # an idle worker keeps the model alone
 
     return run
 
@@ -252,7 +324,8 @@ def _encoder(model_path: str, n_best: int) -> Callable[[Iterator[pa.RecordBatch]
 def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", n_best: int = 3) -> DataFrame:
     """(doc_id, ids array<int>, scores array<double>): the library's encoding of each whole text, and the lattice's n_best scores.
 
-    A text that the library's ids don't give back, such as one that holds a space mark, has the lattice's best ids.
+    A chunk (a word with the spaces before it) that the library's ids don't give back, such as one with a space mark of
+    its own, has the lattice's best ids.
 
     Null and empty texts have no pieces and one segmentation of score 0.  Repeated rows and null ids stay.  An empty
     table gives an empty result.  Other columns are not read.
