@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..sources.scratch import new_path, release_scratch, stored
 
-__all__ = ["arrow_rows", "bounded", "connected_components", "free_names", "new_path", "number_rows", "read_table", "release_scratch", "splittable", "stored"]
+__all__ = ["arrow_rows", "bounded", "connected_components", "free_names", "new_path", "number_rows", "read_table", "release_scratch", "splittable", "stored", "without_rows"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,8 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-#: Stored rows of a few numbers each that a join may broadcast, about 40 MB as a hashed relation.
-BROADCAST_ROWS = 500_000
+#: Stored rows of a few numbers each that a join may broadcast, about 20 MB as a hashed relation.
+BROADCAST_ROWS = 200_000
 
 
 #: Setting, Spark's default, and what takes its place: whole texts in batches of the default size fill an executor.
@@ -53,6 +53,14 @@ def bounded(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose id (null like null) and content hash are in gone (doc_id, content)."""
+    at, content = free_names(docs, "at", "content")
+    gone = bounded(gone.select(F.col("doc_id").alias(at), F.col("content").alias(content)).distinct(), "gone")
+    match = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(at)) & F.xxhash64(F.col(f"`{text_col}`")).eqNullSafe(F.col(content))
+    return docs.join(gone, match, "left_anti")
+
+
 def number_rows(spark: SparkSession, rows: list[tuple[int, ...]], schema: str) -> DataFrame:
     """Whole numbers of the driver as a local relation, without Python on the executors."""
     names = [c.split() for c in schema.split(", ")]

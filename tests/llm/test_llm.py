@@ -126,6 +126,49 @@ def test_minhash_large_group(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, shingle_words=2).collect()} == dict(enumerate(label))
 
 
+def _components(sets, percent=80):
+    label = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and label[i] != label[j]:
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return label
+
+
+def test_minhash_near_the_threshold(spark):
+    """A large group of near copies, half of them just under the threshold: only the rare shingles tell which are linked."""
+    r, words = random.Random(11), [f"w{i}" for i in range(60)]
+    base = [r.choice(words) for _ in range(80)]
+    texts = []
+    for _ in range(220):
+        now = list(base)
+        for at in r.sample(range(80), r.randrange(1, 12)):
+            now[at] = r.choice(words)
+        texts.append(" ".join(now))
+    want = _components([set(zip(t.split(), t.split()[1:])) for t in texts])
+    assert 5 < len(set(want)) < 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in minhash.near_duplicates(docs, shingle_words=2).collect()} == dict(enumerate(want))
+
+
+def test_minhash_null_id_lends_links(spark):
+    words = [f"w{i}" for i in range(100)]
+    a, b, c = words, [*words[:90], *(f"x{i}" for i in range(10))], [*(f"y{i}" for i in range(5)), *words[5:90], *(f"x{i}" for i in range(10))]
+    assert _components([set(a), set(c)]) == [0, 1] and _components([set(a), set(b), set(c)]) == [0, 0, 0]
+    docs = spark.createDataFrame([(1, " ".join(a)), (None, " ".join(b)), (3, " ".join(c)), (3, "another text of this id")], "doc_id long, text string")
+    got = {(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(docs, shingle_words=1).collect()}
+    assert got == {(1, 100, 1, True), (None, 100, 1, False), (3, 100, 1, False), (3, 5, 3, True)}
+
+
+def test_one_of_each(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(2, text, 1), (2, text, 2), (5, text + " more", 3), (5, "of its own and rather longer than that", 4), (None, text, 5), (None, "alone here with these words", 6), (None, None, 7), (7, "", 8), (7, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int")
+    got = sorted(str((r.doc_id, r.text)) for r in minhash.one_of_each(docs).collect())
+    want = [(2, text), (5, rows[3][1]), (None, rows[5][1]), (None, None), (7, ""), (7, "")]
+    assert got == sorted(str((r[0], r[1])) for r in want)
+
+
 def test_toxicity(spark, odd, empty):
     r = random.Random(5)
     make = lambda i: " ".join([r.choice(["tree", "house", "river", "stone"]) for _ in range(30)] + (["scumbag"] * (1 + i % 6) if i % 4 == 0 else []))
