@@ -38,7 +38,7 @@ def _windows(docs: DataFrame, lines: Column, window: int, min_bytes: int) -> Dat
 
 def _covered(windows: DataFrame, window: int) -> DataFrame:
     """(id, content, flags): flags[i] says whether line i + 1 is covered by a later occurrence; lines after the flags are not."""
-    repeated = windows.groupBy("h").agg(F.min(F.struct("id", "content", "pos")).alias("first"), F.max(F.struct("id", "content", "pos")).alias("last")).where("NOT first <=> last")
+    repeated = windows.groupBy("h").agg(F.min(F.struct("id", "content", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = (
         windows.select(splittable("h").alias("k"), F.struct("id", "content", "pos").alias("here")).join(repeated.select(splittable("h").alias("k"), "first"), "k")
         .where("NOT here <=> first").select("here.id", "here.content", "here.pos")
