@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from .util import arrow_rows
 
-#: turn := OPEN role "\n" text END | OPEN_ESCAPED role "\n" text END
-OPEN, OPEN_ESCAPED, END = "<|turn|>", "<|turn:escaped|>", "<|end|>\n"
+#: turn := OPEN role "\n" text END, where neither role nor text holds a MARK and the role no line break;
+#: or OPEN_ESCAPED role "\n" text END, where every MARK, backslash and, in the role, line break is escaped.
+MARK, OPEN, OPEN_ESCAPED, END = "<|", "<|turn|>", "<|turn:escaped|>", "<|end|>\n"
 _SEGMENTS = "conv_id long, seq long, segment string, start long, loss_start long, loss_end long"
 
 
 def escape(text: str) -> str:
-    """Leaves no `<|` and no line break, and is undone by unescape."""
-    return text.replace("\\", "\\\\").replace("<|", "<\\|")
+    """Leaves no MARK, so no control string either; undone by unescape."""
+    return text.replace("\\", "\\\\").replace(MARK, "<\\|")
 
 
 def unescape(text: str) -> str:
@@ -42,8 +43,8 @@ def parse(formatted: str) -> list[tuple[str, str, int, int, bool]] | None:
             return None
         at += len(OPEN_ESCAPED if escaped else OPEN)
         line = formatted.find("\n", at)
-        end = formatted.find(END, line + 1)
-        if line < 0 or end < 0:
+        end = formatted.find(MARK, at)
+        if line < 0 or end < line or not formatted.startswith(END, end):
             return None
         role, text = formatted[at:line], formatted[line + 1 : end]
         turns.append((unescape(role), unescape(text), line + 1, end, True) if escaped else (role, text, line + 1, end, False))
@@ -96,8 +97,9 @@ def format_turns(conversations: DataFrame, *, id_col: str = "conv_id", turn_col:
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Digests of each conversation, parsed from the segments of format_turns (in its order): conv_id, n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Digests of each conversation, parsed from the segments of format_turns in the order of seq: conv_id, n_turns,
+    turns_sha256, loss_chars, loss_sha256, formatted_chars.  The digests are sequential, so a conversation is one
+    task's, segment by segment.  An empty table gives an empty result; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -133,13 +135,17 @@ def read_back(segments: DataFrame) -> DataFrame:
         close()
         yield batch_of()
 
-    return arrow_rows(segments, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    ordered = segments.select("conv_id", "seq", "segment", "start", "loss_start", "loss_end").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return arrow_rows(ordered, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _sql_format(role: str, text: str) -> str:
     """DuckDB SQL for the length of a turn's segment."""
-    escaped = f"length(replace(replace({text}, '\\', '\\\\'), '<|', '<\\|')) + length({role}) + {len(OPEN_ESCAPED) + 1 + len(END)}"
-    return f"CASE WHEN contains({text} || '{END.strip()}' || chr(10), '{END.strip()}' || chr(10)) AND position('{END.strip()}' || chr(10) IN {text} || '{END.strip()}' || chr(10)) <= length({text}) THEN {escaped} ELSE length({text}) + length({role}) + {len(OPEN) + 1 + len(END)} END"
+    longer = lambda x: f"length(replace(replace({x}, '\\', '\\\\'), '{MARK}', '<\\|'))"
+    role_breaks = f"length({role}) - length(replace({role}, chr(10), ''))"
+    escaped = f"{longer(text)} + {longer(role)} + {role_breaks} + {len(OPEN_ESCAPED) + 1 + len(END)}"
+    plain = f"length({text}) + length({role}) + {len(OPEN) + 1 + len(END)}"
+    return f"CASE WHEN contains({text}, '{MARK}') OR contains({role}, '{MARK}') OR contains({role}, chr(10)) THEN {escaped} ELSE {plain} END"
 
 
 #: DuckDB SQL for the digests over the table conversations and the added conversation -7.
