@@ -5,23 +5,25 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from math import exp, log1p
+from dataclasses import dataclass
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import arrow_rows
+from .util import arrow_rows, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Labelled documents that a fit takes at most; all documents are scored.
 FIT_ROWS = 6000
 GRADES = 4
-#: A feature needs this share of the toxic rows (3 rows at least) and this many times the clean rows' share.
-MIN_SHARE, MIN_LIFT = 0.004, 6.0
-WORD_CACHE = 1_000_000
+#: A feature needs this many times the clean rows' share among the toxic rows, and a G-squared that chance alone gives
+#: hardly any of the features looked at: twice the logarithm of their number.
+MIN_LIFT = 6.0
+#: Words whose features a worker remembers before it starts anew.
+WORD_CACHE = 200_000
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -29,63 +31,88 @@ def features_of(word: str) -> tuple[str, ...]:
     return ("=" + word, *("^" + word[:n] for n in (4, 5) if len(word) > n))
 
 
+def feature_value(n: int) -> float:
+    """Of a feature that n of a text's words have: that it is there, and how often."""
+    return 1 + log(n)
+
+
 @dataclass
 class OrdinalModel:
     """P(grade >= j) = sigmoid(w x - theta_j): one weight vector for all ordered thresholds."""
 
     weights: dict[str, float]
     thresholds: list[float]
-    _seen: dict = field(default_factory=dict, repr=False)
 
-    def severity(self, text: str | None) -> tuple[float, list[float]]:
-        """(expected grade, P(grade >= j) for each j)."""
+    def severity(self, text: str | None, seen: dict | None = None) -> tuple[float, list[float]]:
+        """(expected grade, P(grade >= j) for each j).  seen: remembers words' features from text to text."""
         counts: Counter = Counter()
-        seen = self._seen
+        seen = {} if seen is None else seen
+        if len(seen) > WORD_CACHE:
+            seen.clear()
         for w in _WORD.findall((text or "").lower()):
             f = seen.get(w, 0)
             if f == 0:
-                if len(seen) > WORD_CACHE:
-                    seen.clear()
                 f = seen[w] = tuple(x for x in features_of(w) if x in self.weights) or None
             if f:
                 counts.update(f)
-        eta = sum(self.weights[f] * log1p(n) for f, n in sorted(counts.items()))
+        eta = sum(self.weights[f] * feature_value(n) for f, n in sorted(counts.items()))
         above = [1 / (1 + exp(min(60.0, t - eta))) for t in self.thresholds]
         return sum(above), above
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 1e-3, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds by Adam on the mean of the thresholds' log losses; deterministic."""
-    n, d = x.shape
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, d: int, grade: np.ndarray, grades: int, l2: float = 1e-4, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds by Adam on the mean of the thresholds' log losses; deterministic.
+
+    Features are sparse: values at (rows, cols), d columns, a row for each of grade.
+    """
+    n = len(grade)
     cuts = np.arange(1, grades)
     y = (grade[:, None] >= cuts).astype(float)
     w, start, gaps = np.zeros(d), 0.0, np.zeros(grades - 2)
     m, v = np.zeros(d + grades - 1), np.zeros(d + grades - 1)
     for t in range(1, steps + 1):
         theta = start + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:, None] - theta, -50, 50)))
+        eta = np.bincount(rows, values * w[cols], n)
+        p = 1 / (1 + np.exp(-np.clip(eta[:, None] - theta, -50, 50)))
         e = (p - y) / n
         by_cut = -e.sum(axis=0)
         up = by_cut[1:][::-1].cumsum()[::-1] * np.exp(gaps)
-        g = np.concatenate((x.T @ e.sum(axis=1) + l2 * w, [by_cut.sum()], up))
+        g = np.concatenate((np.bincount(cols, values * e.sum(axis=1)[rows], d) + l2 * w, [by_cut.sum()], up))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, start, gaps = w - step[:d], start - step[d], gaps - step[d + 1 :]
     return w, start + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
 
 
+def _bound(counted: DataFrame) -> dict[str, int]:
+    """The features that toxic rows have far more often than others, with the number of toxic rows that have them."""
+    kinds = {r["bad"]: r["n"] for r in counted.groupBy((F.col("y") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    bad, good = kinds.get(True, 0), kinds.get(False, 0)
+    if not bad or not good:
+        return {}
+    seen = counted.select("y", F.explode(F.map_keys("f")).alias("f")).groupBy("f").agg(F.count_if(F.col("y") > 0).alias("bad"), F.count_if(F.col("y") <= 0).alias("good"))
+    lift = (F.col("bad") / bad) / ((F.col("good") + 0.5) / good)
+    both = F.col("bad") + F.col("good")
+    g2 = 2 * sum(F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (bad + good) / (both * n))).otherwise(0.0) for c, n in (("bad", bad), ("good", good)))
+    least = 2 * log(max(2, seen.count()))
+    return {r["f"]: r["bad"] for r in seen.where((lift >= MIN_LIFT) & (g2 >= least)).collect()}  # of the fit's rows only
+
+
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, grades: int = GRADES
 ) -> OrdinalModel:
     """Fits on at most fit_rows labelled documents, chosen by a hash of the id.
 
     A label above 1 is a grade as it stands.  Where labels are 0 and 1 only, toxic rows get the grades 1 to grades - 1
-    by the terciles (for four grades) of the share of their words that carry a label-bound feature.  Null labels and
-    null texts are left out.  Without rows of both kinds nothing can be told apart, and the model calls nothing toxic.
+    by the terciles (for four grades) of how many features of theirs are label-bound in the other half of the rows, so
+    that no row's grade hangs on features chosen by that row.  Ids that are labelled twice have the higher label; a
+    labelled id with several texts has them all.  Null labels and null texts are left out.  Without rows of both kinds
+    nothing can be told apart, and the model calls nothing toxic.  Other columns are not read.
     """
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).join(chosen, "_id").select("_id", "t", "y")
+    labelled = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    chosen = labelled.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("t")).where("t IS NOT NULL")
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "t", "y")  # fit_rows ids at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,34 +123,47 @@ def fit_toxicity(
                     for f in features_of(w):
                         c[f] += n
                 counts.append(list(c.items()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.map_(pa.string(), pa.int64()))], ["_id", "y", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.map_(pa.string(), pa.int64()))], ["id", "y", "f"])
 
-    counted = arrow_rows(rows, run, "_id long, y int, f map<string,bigint>")
-    # the vocabulary is cut on the executors, so that the driver gets kept features only
-    kinds = {r["y"] > 0: r["n"] for r in counted.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = kinds.get(True, 0), kinds.get(False, 0)
-    if not bad or not good:
-        return OrdinalModel({}, [50.0] * (grades - 1))
-    seen = counted.select("y", F.explode(F.map_keys("f")).alias("f")).groupBy("f").agg(F.count_if(F.col("y") > 0).alias("bad"), F.count_if(F.col("y") <= 0).alias("good"))
-    lift = (F.col("bad") / bad) / ((F.col("good") + 0.5) / good)
-    kept = {r["f"]: i for i, r in enumerate(seen.where((F.col("bad") >= max(3, MIN_SHARE * bad)) & (lift >= MIN_LIFT)).orderBy(F.desc("bad"), "f").limit(4000).collect())}
+    counted = stored(arrow_rows(rows, run, "id long, y int, f map<string,bigint>"), "labelled")
+    nothing = OrdinalModel({}, [50.0] * (grades - 1))
+    kept = {f: i for i, f in enumerate(sorted(_bound(counted)))}
     if not kept:
-        return OrdinalModel({}, [50.0] * (grades - 1))
-    some = counted.select("_id", "y", F.map_filter("f", lambda k, _: k.isin(list(kept))).alias("k"), F.aggregate(F.map_values(F.map_filter("f", lambda k, _: k.startswith("="))), F.lit(0).cast("long"), lambda a, b: a + b).alias("n"))
-    data = sorted(some.collect(), key=lambda r: r["_id"])
-    x, share, y = np.zeros((len(data), len(kept))), np.zeros(len(data)), np.zeros(len(data), dtype=int)
-    for i, r in enumerate(data):
-        y[i] = r["y"]
-        share[i] = sum(r["k"].values()) / max(1, r["n"])
-        for f, n in r["k"].items():
-            x[i, kept[f]] = log1p(n)
+        return nothing
+    half = F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2))
+    others = [_bound(counted.where(half == 1)), _bound(counted.where(half == 0))]  # a row's other half
+    wanted = sorted({*kept, *others[0], *others[1]})
+    data = counted.select("id", "y", F.map_filter("f", lambda k, _: k.isin(wanted)).alias("f"), half.cast("int").alias("half")).collect()  # the fit's rows
+    data.sort(key=lambda r: (r["id"], r["y"], sorted(r["f"].items())))
+    bound = np.array([sum(n for f, n in r["f"].items() if f in others[r["half"]]) for r in data])
+    y = np.array([r["y"] for r in data])
+    cells = [(i, kept[f], feature_value(n)) for i, r in enumerate(data) for f, n in sorted(r["f"].items()) if f in kept]
     if y.max() <= 1 and grades > 2:
-        cuts = np.quantile(share[y > 0], np.arange(1, grades - 1) / (grades - 1))
-        y = np.where(y > 0, 1 + np.searchsorted(cuts, share, side="right"), 0)
-    w, theta = fit_ordinal(x, np.clip(y, 0, grades - 1), grades)
+        cuts = np.quantile(bound[y > 0], np.arange(1, grades - 1) / (grades - 1))
+        y = np.where(y > 0, 1 + np.searchsorted(cuts, bound, side="left"), 0)
+    at = [np.array(c) for c in zip(*cells, strict=True)]
+    w, theta = fit_ordinal(at[0], at[1], at[2], len(kept), np.clip(y, 0, grades - 1), grades)
     return OrdinalModel({f: float(w[i]) for f, i in kept.items()}, [float(t) for t in theta])
 
 
+def _scores(column: pa.Array, model: OrdinalModel, seen: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Severity and P(grade >= 1) of each text."""
+    scored = [model.severity(t.as_py(), seen) for t in column]
+    return np.array([x for x, _ in scored], dtype=float), np.array([a[0] for _, a in scored], dtype=float)
+
+
+def keep_clean(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """The rows of docs that score_toxicity doesn't call toxic, each by its own text, with all their columns."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(place), model, seen)[1] < cut))
+
+    return arrow_rows(docs, run, docs.schema)
+
+
 def score_toxicity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
     """(doc_id, severity, p_toxic, grade, toxic): one row per row of docs, whole texts.
 
@@ -133,12 +173,12 @@ def score_toxicity(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
         for batch in batches:
-            scored = [model.severity(t.as_py()) for t in batch.column(1)]
-            s = np.array([x for x, _ in scored], dtype=float)
-            p = np.array([a[0] for _, a in scored], dtype=float)
+            s, p = _scores(batch.column(1), model, seen)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(s), pa.array(p), pa.array(np.rint(s).astype(np.int32)), pa.array(p >= cut)], ["doc_id", "severity", "p_toxic", "grade", "toxic"]
             )
 
-    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return arrow_rows(rows, run, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
