@@ -306,7 +306,7 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
             lo, chars, texts = i + 1, 0, []
 
 
-def _encoder(model_path: str, n_best: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoder(model_path: str, n_best: int, decoded: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lattice(model_path)
         for batch in batches:
@@ -315,23 +315,27 @@ def _encoder(model_path: str, n_best: int) -> Callable[[Iterator[pa.RecordBatch]
                 values = np.frombuffer(b"".join(x for x, _ in made), "<i4")
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x, _ in made]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([s for _, s in made], pa.list_(pa.float64()))], ["doc_id", "ids", "scores"])
+                columns, names = [part.column(0), ids, pa.array([s for _, s in made], pa.list_(pa.float64()))], ["doc_id", "ids", "scores"]
+                if decoded:
+                    columns.append(pa.array([zlib.crc32(known.decode(np.frombuffer(x, "<i4").tolist()).encode()) for x, _ in made], pa.int64()))
+                    names.append("decoded_crc32")
+                yield pa.RecordBatch.from_arrays(columns, names)
         known.forget()  # an idle worker keeps the model alone
 
     return run
 
 
-def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", n_best: int = 3) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", n_best: int = 3, decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>, scores array<double>): the library's encoding of each whole text, and the lattice's n_best scores.
 
     A chunk (a word with the spaces before it) that the library's ids don't give back, such as one with a space mark of
-    its own, has the lattice's best ids.
+    its own, has the lattice's best ids.  decoded adds decoded_crc32, of the UTF-8 bytes that the ids decode to.
 
     Null and empty texts have no pieces and one segmentation of score 0.  Repeated rows and null ids stay.  An empty
     table gives an empty result.  Other columns are not read.
     """
-    run = _encoder(model_path, n_best)
-    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, ids array<int>, scores array<double>")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return arrow_rows(rows, _encoder(model_path, n_best, decoded), "doc_id long, ids array<int>, scores array<double>" + ", decoded_crc32 long" * decoded)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -354,19 +358,16 @@ def digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_co
     second_score is null where a text has one segmentation only.  Encodes and decodes in one worker, which so holds one
     lattice and passes no ids on.
     """
-    encode = _encoder(model_path, n_best)
+    encode = _encoder(model_path, n_best, decoded=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lattice(model_path)
         names = ["doc_id", "n_pieces", "ids_crc32", "best_score", "second_score", "text_crc32"]
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         for part in encode(batches):
-            rows = []
-            for ids, scores in zip(part.column(1), part.column(2).to_pylist(), strict=True):
-                x = ids.values.to_numpy(zero_copy_only=False)
-                text = known.decode(x.tolist())
-                rows.append((len(x), zlib.crc32(x.astype("<i4")), scores[0], scores[1] if len(scores) > 1 else None, zlib.crc32(text.encode())))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
-
-    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, n_pieces long, ids_crc32 long, best_score double, second_score double, text_crc32 long")
+            ids = [v.values.to_numpy(zero_copy_only=False) for v in part.column(1)]
+            scores = [s + [None] for s in part.column(2).to_pylist()]
+            cols = ([len(x) for x in ids], [zlib.crc32(x) for x in ids], [s[0] for s in scores], [s[1] for s in scores])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), part.column(3)], names)
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return arrow_rows(rows, run, "doc_id long, n_pieces long, ids_crc32 long, best_score double, second_score double, text_crc32 long")

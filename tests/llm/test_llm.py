@@ -183,6 +183,26 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.fit_toxicity(docs, labels.where("toxic = 0")).weights == {}
 
 
+def test_toxicity_held_out(spark):
+    """Labelled rows that the fit didn't see, and equal results from the filter."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    half = F.xxhash64("doc_id") % 2 == 0
+    model = toxicity.fit_toxicity(docs, labels.where(half))
+    scored = toxicity.score_toxicity(docs, model)
+    n = {(r.toxic, r.y): r.n for r in scored.join(labels.where(~half).select("doc_id", F.col("toxic").alias("y")), "doc_id").groupBy("toxic", "y").agg(F.count("*").alias("n")).collect()}
+    assert n[True, 1] >= 0.8 * (n[True, 1] + n.get((False, 1), 0)) and n.get((True, 0), 0) <= 0.01 * n[False, 0], n
+    assert toxicity.keep_clean(docs, model).select("doc_id").exceptAll(scored.where("NOT toxic").select("doc_id")).count() == 0
+
+
+def test_toxicity_odd_labels(spark):
+    docs = spark.createDataFrame([(i, "calm words here" if i % 2 else "you rotten fool fool", f"t{i}", i) for i in range(60)] + [(0, None, "x", 1), (None, "rotten", "y", 2)], "doc_id long, text string, t string, y int")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 5) for i in range(60)] + [(0, 0, 5), (None, 1, 5), (3, None, 5), (99, 1, 5)], "doc_id long, toxic int, id int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert {r.doc_id % 2 for r in toxicity.score_toxicity(docs, model).where("toxic AND doc_id IS NOT NULL").collect()} == {0}
+    clean = toxicity.keep_clean(docs, model)
+    assert clean.columns == docs.columns and {(r.doc_id, r.text) for r in clean.collect()} == {(0, None), *((i, "calm words here") for i in range(1, 60, 2))}
+
+
 def test_chat_round_trip(spark):
     r, parts = random.Random(2), ["<|turn|>", "<|end|>\n", "<|turn:escaped|>", "\\", "<|", "|", "<", "\n", "user", "é", ""]
     for _ in range(3000):
@@ -230,9 +250,8 @@ def test_repeated_letters_and_best_path():
         assert len(scores) == 3 and scores == sorted(scores, reverse=True)
         assert p.decode(np.frombuffer(ids, "<i4").tolist()) == text
     dice = random.Random(3)
-    for _ in range(300):
-        chunk = sentencepieces.SPACE + "".join(dice.choice("abtheé日") for _ in range(dice.randint(1, 12)))
-        best, loss, _ = p._best(chunk)
+    chunks = [sentencepieces.SPACE + "".join(dice.choice("abtheé日") for _ in range(dice.randint(0, 12))) for _ in range(300)]
+    for chunk, best, loss in zip(chunks, *p.solve(chunks), strict=True):
         first, *rest = p.n_best(chunk, 2)
         assert best == pytest.approx(first[0]) and (best - loss == pytest.approx(rest[0][0]) if rest else loss == float("inf"))
 
@@ -242,6 +261,16 @@ def test_piece_digests(spark, odd, empty):
     found = sentencepieces.digests(odd, path).collect()
     assert sorted(r.text_crc32 for r in found) == sorted(zlib.crc32((r.text or "").encode()) for r in odd.collect())
     assert sentencepieces.digests(empty, path).count() == 0
+    p = sentencepieces.lattice(path)
+    p.forget()
+    before = p.encode_n_best("some words of a text", 3)
+    old = sentencepieces.CACHE_CHUNKS
+    try:
+        sentencepieces.CACHE_CHUNKS = 2  # the cache starts anew before the next text
+        p.encode_n_best("quite other words here", 3)
+        assert len(p.known) < 6 and p.encode_n_best("some words of a text", 3) == before
+    finally:
+        sentencepieces.CACHE_CHUNKS = old
 
 
 def test_pieces_round_trip(spark, odd, empty):
