@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.components import connected_components
 from ..sources.scratch import new_path, release_scratch, stored
@@ -38,7 +39,7 @@ BROADCAST_ROWS = 200_000
 ARROW_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"))
 
 
-def arrow_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow in small batches; a session that has set a size other than the default keeps it."""
     conf = rows.sparkSession.conf
     for key, default, small in ARROW_BATCHES:
@@ -61,7 +62,7 @@ def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -
     return docs.join(gone, match, "left_anti")
 
 
-def number_rows(spark: SparkSession, rows: list[tuple[int, ...]], schema: str) -> DataFrame:
+def number_rows(spark: SparkSession, rows: list[tuple[int, ...]], schema: str | StructType) -> DataFrame:
     """Whole numbers of the driver as a local relation, without Python on the executors."""
     names = [c.split() for c in schema.split(", ")]
     one = ", ".join(f"CAST(NULL AS {kind}) AS {name}" for name, kind in names)
