@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import bounded, splittable, stored
+from .util import bounded, stored, without_rows
 
 #: Unit words that count as a unit after a number.
 UNITS = (
@@ -98,40 +98,60 @@ def contaminated(
     """(doc_id, item_id, n_windows, n_slots, reparameterised, contaminated): a row per document and item that it leaks.
 
     Numbers (words with a digit, number words), units after a number, and names (capitalised words that are not in
-    FUNCTION_WORDS, wherever they stand) become typed placeholders; other words lose case and punctuation.  Windows of `window` tokens are joined by hash, as templates and
-    as literal words.  Windows that meet at one offset form an alignment, in which the item is then compared word by
-    word; it leaks if min_windows of its windows agree, or all where it has fewer, and the slots fill consistently:
-    equal values in the item stand for equal values in the document and different ones for different ones.  So many
-    windows of equal literal words are a leak whatever the slots.  reparameterised tells whether a value differs.
-
-    Null and empty texts, and null ids, leak nothing.  Items of fewer words than a window are one window, if they have
-    three words.  Templates with fewer than MIN_LITERALS ordinary words count only in an alignment with one that has
-    more; an item without such a one leaks by its literal words.  Repeated rows give one row.  An empty table on either side gives an empty result.  Other columns are not read.
+    FUNCTION_WORDS, wherever they stand) become typed placeholders; other words lose case and punctuation.  Windows of
+    `window` tokens are joined by hash, as templates and as literal words.  Windows that meet at one offset form an
+    alignment, in which the item is then compared word by word; it leaks if min_windows of its windows agree, or all
+    where it has fewer, and the slots fill consistently: equal values in the item stand for equal values in the
+    document; different ones may stand for equal ones.  So many windows of equal literal words are a leak whatever the
+    slots.  reparameterised tells whether a value differs.
+
+    A document is known by its id and its text's hash, so texts that share an id, or have none, count apart, and rows
+    repeated with one id and text give one row.  Null and empty texts leak nothing.  Items of fewer words than a window
+    are one window, if they have three words; items without id or text are left out, of items of one id one counts.
+    Templates with fewer than MIN_LITERALS ordinary words count only in an alignment with one that has more; an item
+    without such a one leaks by its literal words.  An empty table on either side gives an empty result.  Other columns
+    are not read.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+    columns = {"id_col": id_col, "text_col": text_col, "item_col": item_col, "item_text_col": item_text_col}
+    return leaks(docs, benchmark, **columns, window=window, min_windows=min_windows, broadcast_windows=broadcast_windows).drop("content")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that leak no item, each by its own text, with all their columns."""
+    return without_rows(docs, leaks(docs, benchmark, id_col=id_col, text_col=text_col), id_col, text_col)
+
+
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, min_windows: int = MIN_WINDOWS, broadcast_windows: int = BROADCAST_WINDOWS,
+) -> DataFrame:
+    """contaminated's rows with content, the hash of the document's text."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     items = items.dropDuplicates(["item_id"]).select("item_id", "text", plain_words(F.col("text")).alias("plain"))
     items = items.select("item_id", raw_words(F.col("text")).alias("braw"), template("plain").alias("tokens"), literal("plain").alias("literal"))
     size = F.least(F.size("tokens"), F.lit(window))
     lengths = sorted(n for n, in items.where(F.size("tokens") >= 3).select(size).distinct().collect())  # at most `window` numbers
     spark = docs.sparkSession
     if not lengths:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, n_slots long, reparameterised boolean, contaminated boolean")
+        return spark.createDataFrame([], "doc_id long, content long, item_id long, n_windows long, n_slots long, reparameterised boolean, contaminated boolean")
     marks = _windows(items, ["item_id", "tokens"], lengths, rich_only=True).where(size == F.col("len")).select("item_id", F.col("pos").alias("bpos"), "len", "h")
     n_marks = marks.count()
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    words = source.select("doc_id", plain_words(F.col("text")).alias("plain")).select("doc_id", template("plain").alias("tokens"), literal("plain").alias("literal"))
-    spots = _windows(words, ["doc_id"], lengths)
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("content"), F.col(f"`{text_col}`").alias("text"))
+    source = source.where("text IS NOT NULL")
+    words = source.select("doc_id", "content", plain_words(F.col("text")).alias("plain")).select("doc_id", "content", template("plain").alias("tokens"), literal("plain").alias("literal"))
+    spots = _windows(words, ["doc_id", "content"], lengths)
     hit = spots.join(F.broadcast(marks) if n_marks <= broadcast_windows else marks, ["h", "len"])
-    aligned = hit.groupBy("doc_id", "item_id", (F.col("pos") - F.col("bpos")).alias("shift")).agg(F.countDistinct("bpos").alias("n"))
+    aligned = hit.groupBy("doc_id", "content", "item_id", (F.col("pos") - F.col("bpos")).alias("shift")).agg(F.countDistinct("bpos").alias("n"))
     places = F.sequence(F.lit(1), F.size("tokens") - size + 1)
     poor = F.size(F.filter(places, lambda p: ~_rich("tokens", p, size)))
     needed = F.least(F.lit(min_windows), F.size(places))
     items = items.withColumns({"size": size, "needed": needed, "poor": poor})
     aligned = aligned.join(items, "item_id").where(F.col("n") >= F.greatest(F.lit(1), F.col("needed") - F.col("poor"))).drop("n", "poor")
     aligned = stored(aligned, "aligned")
-    found = aligned.select(splittable("doc_id").alias("k"), "*")
-    texts = source.select(splittable("doc_id").alias("k"), "text").join(bounded(found.select("k").distinct(), "leaking"), "k", "left_semi")
+    key = F.struct(F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull(), "content").alias("k")  # a struct: exchanges that can be split
+    found = aligned.select(key, "*")
+    texts = source.select(key, "text").join(bounded(found.select("k").distinct(), "leaking"), "k", "left_semi").dropDuplicates(["k"])
     both = found.join(texts.select("k", raw_words(F.col("text")).alias("draw"), plain_words(F.col("text")).alias("plain")), "k").select(
         *[c for c in found.columns if c != "k"], "draw", template("plain").alias("dtokens"), literal("plain").alias("dliteral")
     )
@@ -139,7 +159,7 @@ def contaminated(
     last = F.least(F.size("tokens"), F.size("dtokens") - F.col("shift")).cast("int")
     at, span = (first + F.col("shift")).cast("int"), last - first + 1
     part = both.select(
-        "doc_id", "item_id", "size", "needed", F.slice("tokens", first, span).alias("bt"), F.slice("dtokens", at, span).alias("dt"),
+        "doc_id", "content", "item_id", "size", "needed", F.slice("tokens", first, span).alias("bt"), F.slice("dtokens", at, span).alias("dt"),
         F.slice("literal", first, span).alias("bl"), F.slice("dliteral", at, span).alias("dl"),
         F.transform(F.slice("braw", first, span), _bare).alias("b"), F.transform(F.slice("draw", at, span), _bare).alias("d"),
     )
@@ -156,11 +176,10 @@ def contaminated(
     span = F.array_max("hits") + F.col("size") - lo
     pairs = F.filter(F.slice(F.arrays_zip("bt", "same", "b", "d"), lo, span), lambda x: x["bt"].isin(NUMBER, NAME, UNIT) & x["same"])
     checked = part.withColumns({"slots": F.transform(pairs, lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d"))), "rich": F.exists("hits", lambda p: _rich("bt", p, F.col("size")))})
-    distinct = F.size(F.array_distinct("slots"))
-    fits = F.col("rich") & (distinct == F.size(F.array_distinct("slots.b"))) & (distinct == F.size(F.array_distinct("slots.d")))
+    fits = F.col("rich") & (F.size(F.array_distinct("slots")) == F.size(F.array_distinct("slots.b")))
     changed = F.exists("slots", lambda x: x["b"] != x["d"])
     return (
-        checked.withColumn("fits", fits).where(F.col("fits") | (F.col("exact") >= F.col("needed"))).groupBy("doc_id", "item_id")
+        checked.withColumn("fits", fits).where(F.col("fits") | (F.col("exact") >= F.col("needed"))).groupBy("doc_id", "content", "item_id")
         .agg(
             F.max(F.when(F.col("fits"), F.size("hits")).otherwise(F.col("exact"))).cast("long").alias("n_windows"), F.max(F.size("slots")).cast("long").alias("n_slots"),
             F.min(F.col("fits") & changed).alias("reparameterised"),

@@ -77,6 +77,55 @@ def test_decontamination_placeholders(spark):
     assert got == {(0, 0, True), (1, 1, True), (2, 2, False), (3, 3, False)}
 
 
+def test_decontamination_slots_and_rows(spark):
+    """Different values may become equal ones, equal ones may not differ; each row answers for its own text."""
+    item = "A baker sells 5 rolls and 5 loaves in the morning and then 12 more cakes at night"
+    bench = spark.createDataFrame([(1, item, "x")], "item_id long, text string, doc_id string")
+    equal, torn = (item.replace("12", "7").replace("5", "7"), item.replace("5 rolls", "6 rolls").replace("5 loaves", "8 loaves").replace("12", "9"))
+    rows = [(1, equal, 9, "k"), (1, "nothing of it", 9, "k"), (2, torn, 9, "k"), (None, item, 9, "k"), (None, None, 9, "k"), (4, item, 9, "k"), (4, item, 9, "k"), (None, "other words", 9, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int, content string")
+    got = sorted(((r.doc_id, r.reparameterised) for r in decontaminate.contaminated(docs, bench).collect()), key=str)
+    assert got == [(1, True), (4, False), (None, False)]
+    left = decontaminate.without_leaks(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(1, "nothing of it"), (2, torn), (None, None), (None, "other words")], key=str)
+
+
+def test_decontamination_brute_force(spark):
+    """Leaks of whole items, re-parameterised at random, against a plain comparison of every item at every place."""
+    r, words = random.Random(8), [f"{a}{b}" for a in ("ka", "lo", "mi", "tu") for b in ("ra", "se", "no", "vi")]
+    def template_of(text):
+        return [decontaminate.NUMBER if w[0].isdigit() else w for w in text.split()]
+    items = [" ".join(str(r.randrange(1, 99)) if r.random() < 0.2 else r.choice(words) for _ in range(16)) for _ in range(12)]
+    texts = []
+    for n in range(60):
+        body = [r.choice(words) for _ in range(r.randrange(5, 40))]
+        if n % 2:
+            change = {str(k): str(r.randrange(1, 99)) for k in range(100)}
+            leak = " ".join(change.get(w, w) for w in items[r.randrange(12)].split())
+            if n % 5 == 0:
+                leak = leak.replace(leak.split()[7], "broken", 1)
+            at = r.randrange(len(body))
+            body[at:at] = leak.split()
+        texts.append(" ".join(body))
+    want = set()
+    for i, t in enumerate(texts):
+        d, dt = t.split(), template_of(t)
+        for j, item in enumerate(items):
+            b, bt = item.split(), template_of(item)
+            for shift in range(-len(b), len(d)):
+                at = [k for k in range(len(b)) if 0 <= k + shift < len(d) and bt[k] == dt[k + shift]]
+                hits = [p for p in range(len(b) - 7) if all(k in at for k in range(p, p + 8))]
+                if len(hits) >= min(6, len(b) - 7):
+                    slots = {(b[k], d[k + shift]) for k in range(hits[0], hits[-1] + 8) if k in at and bt[k] == decontaminate.NUMBER}
+                    exact = [p for p in hits if all(b[k] == d[k + shift] for k in range(p, p + 8))]
+                    if len(slots) == len({x for x, _ in slots}) or len(exact) >= 6:
+                        want.add((i, j))
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, bench).collect()}
+    assert got == want and len(want) > 15
+
+
 def test_line_dedup_edges(odd, empty):
     got = line_dedup.drop_repeated_lines(odd)
     assert got.columns == [*odd.columns, "n_removed"]
