@@ -9,49 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkpipe.llm import decontaminate, line_dedup, minhash, sentencepieces, toxicity
-from sparkpipe.llm.util import bounded, read_table, stored
+from sparkpipe.llm.util import read_table, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal regression, fitted on the labels of sf_dir, calls toxic go."""
-    model = toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
-    bad = toxicity.score_toxicity(docs, model).where("toxic").select("doc_id").distinct()
-    return _without(docs, bad)
+    """Rows whose text the ordinal regression, fitted on the labels of sf_dir, calls toxic go; null and empty texts stay."""
+    return toxicity.keep_clean(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows go, and documents of which nothing is left."""
+    """Later occurrences of repeated three-line windows go, and rows of which nothing is left; null and empty texts stay."""
     cleaned = line_dedup.drop_repeated_lines(docs)
     return cleaned.where("n_removed = 0 OR trim(text) <> ''").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word-shingle similarity 0.8 stays, that of the smallest id."""
-    gone = minhash.near_duplicates(docs, shingle_words=5, threshold=0.8).where("NOT kept").select("doc_id").distinct()
-    return _without(docs, gone)
+    """One row of each group of five-word-shingle similarity 0.8 stays, that of the smallest id; rows without words all stay."""
+    return minhash.one_of_each(docs, shingle_words=5, threshold=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
-    bad = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return _without(docs, bad)
+    """Rows whose text leaks a benchmark item go, with or without an id; other rows of their id stay."""
+    return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, scores and n_pieces of each document that is left."""
-    encoded = sentencepieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """doc_id, ids, scores, decoded_crc32 (of the text decoded from ids) and n_pieces of each row that is left."""
+    encoded = sentencepieces.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
     return encoded.withColumn("n_pieces", F.size("ids"))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = bounded(ids.select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("sentencepiece", encode)
 ]
-#: The fitted regression and the lattice search are beyond SQL; tests hold run() against a brute-force version.
+#: The fitted regression and the lattice search are beyond SQL; tests/llm holds run() against a plain Python version.
 ORACLE_SQL = None
 
 
