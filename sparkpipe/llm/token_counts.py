@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import arrow_rows, new_path
+from .util import arrow_rows, bounded, new_path
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 #: Words whose counts a worker remembers before it starts anew.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 #: The pre-tokens of the byte-level family over Latin-1, with its classes written out.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _PRETOKEN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -94,18 +94,23 @@ def count_tokens(
     The normal form of a content is its text, null as empty: anything coarser changes counts.  Its SHA-256 and the
     tokenizer's version are joined to the counts in cache_dir; of what is missing each distinct text is encoded once and
     its count appended there, then the counts are read back.  Without a cache_dir a new one in the shared folder serves
-    this call.  Copies are merged before the shuffle, so a text that many rows share travels once a task.  Two jobs that
-    fill one cache at once may append a digest twice, with one count.
+    this call.  Against a cache with counts, digests alone are joined first, and only texts that miss travel on.  Copies
+    are merged before the shuffle, so a text that many rows share travels once a task.  Two jobs that fill one cache at
+    once may append a digest twice, with one count.
 
     Repeated rows and ids stay as they are.  An empty table gives an empty result.  Other columns are not read.
     """
     spark = docs.sparkSession
     cache_dir = cache_dir or new_path(spark, "token-cache")
     version = tokenizer_version(tokenizer_path)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
     known = read_cache(spark, cache_dir).where(F.col("version") == version).select("digest")
-    misses = keyed.select("digest", "text").join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    texts = keyed.select("digest", "text")
+    if not known.isEmpty():
+        missing = keyed.select("digest").distinct().join(known, "digest", "left_anti")
+        texts = texts.join(bounded(missing, "missing"), "digest", "left_semi")
+    misses = texts.groupBy("digest").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer_path)

@@ -140,6 +140,9 @@ def test_token_counts(spark, odd, empty, tmp_path):
     n = spark.read.parquet(cache).count()
     assert sorted(map(str, token_counts.count_tokens(odd, path, cache_dir=cache).collect())) == first
     assert spark.read.parquet(cache).count() == n == 4
+    more = odd.union(spark.createDataFrame([(8, "new text", "en", "a", 1), (9, "new text", "en", "a", 1)], odd.schema))
+    assert token_counts.count_tokens(more, path, cache_dir=cache).count() == more.count()
+    assert spark.read.parquet(cache).count() == 5  # of the texts only the one that is missing is encoded, once
     assert token_counts.count_tokens(empty, path).count() == 0
     c, r = token_counts.WordCounter(path), random.Random(1)
     letters = [chr(i) for i in range(256)] + ["<|endoftext|>", "'s", "  ", "中", "ſ"]
@@ -148,6 +151,16 @@ def test_token_counts(spark, odd, empty, tmp_path):
         assert c.count(t) == c._whole(t)
 
 
+def test_token_counts_of_documents(spark):
+    """The query's rows against the library, every whole text."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op3_token_counts(spark, SF).collect()}
+    assert got == {i: (len(t.encode()), n := len(library.encode(t, add_special_tokens=False).ids), n > 512) for i, t in texts.items()}
+
+
 def test_minhash(spark, odd, empty):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd, shingle_words=2).collect()}
     assert {g for g in got if g[0] in (1, 2)} == {(1, 0, 1, True), (2, 0, 2, True)}
