@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .util import number_rows, stored
+from .util import free_names, number_rows, stored
 
 #: Bins of one histogram pass over a node's widest dimension.
 BINS = 1024
@@ -57,35 +57,40 @@ def kd_shards(
 ) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): leaves of a k-d tree over metadata, near equal in bytes.
 
+    A row per row of docs.
     Dimensions are the size, the id, and the categories by their hash.  A node of n leaves is split n // 2 to the rest
     at the weighted quantile of its widest dimension, width counting as the part of the whole table's range, so rows
-    with like metadata meet.  Rows of one value are told apart by a hash of the id and text, so a hot value is split
-    too.  A quantile comes from histograms of BINS bins, pass after pass, for all nodes of a level at once, until the
+    with like metadata meet.  Rows of one value are told apart by a hash of the id, the text and the row's number in a
+    stored table, so a hot value is split too, and so are rows that are equal.  A quantile comes from histograms of BINS bins, pass after pass, for all nodes of a level at once, until the
     cut is within `tolerance` of a leaf's bytes.  The driver sees only BINS sums a node.  Slots number a shard's
     rows from 0 without gaps.
 
     size is the text's UTF-8 bytes (null: none) plus ROW_BYTES.  Null ids and categories count as the smallest value.
-    Equal rows can't be told apart and stay together, save for which the sizes of shards differ by the largest row at
-    most plus the tolerance.  An empty table gives an empty result; with fewer rows than shards some stay empty.
+    The sizes of shards differ by the largest row at most plus the tolerance.  An empty table gives an empty result; with fewer rows than shards some stay empty.
     Other columns are not read.
     """
+    return _placed(docs, shards, id_col, text_col, categories, tolerance).drop("number")
+
+
+def _placed(docs: DataFrame, shards: int, id_col: str, text_col: str, categories: tuple[str, ...], tolerance: float, number: str | None = None) -> DataFrame:
+    """kd_shards' rows with number, that of the column `number` or one of its own."""
     if shards < 1:
         raise ValueError("shards must be positive")
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    row = F.xxhash64(F.col(id_col), text)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     head = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), text_size(F.col(text_col)).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), row.alias("row"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_size(F.col(f"`{text_col}`")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(F.col(f"`{id_col}`"), text).alias("like"), (F.col(number) if number else F.monotonically_increasing_id()).alias("number"),
         *[F.shiftrightunsigned(F.xxhash64(F.col(f"`{c}`")), 34).alias(f"c{i}") for i, c in enumerate(categories) if c in docs.columns],
     )
-    head = stored(head, "heads")
-    cats = [c for c in head.columns if c[0] == "c"]
+    head = stored(head, "heads").withColumn("row", F.xxhash64("like", "number")).drop("like")
+    cats = [c for c in head.columns if c[0] == "c" and c[1:].isdigit()]
     lo_id, hi_id, hi_size, total, rows = head.agg(F.min("doc_id"), F.max("doc_id"), F.max("size"), F.sum("size"), F.count(F.lit(1))).first()
     span = max(1, (hi_id or 0) - (lo_id or 0))
     by_id = F.floor(F.coalesce((F.col("doc_id") - F.lit(lo_id or 0)).cast("double"), F.lit(0.0)) / span * (2**30 - 1))
     by_size = F.floor(F.log2(F.col("size").cast("double")) / max(1.0, len(bin(hi_size or 1)) - 2.0) * (2**30 - 1))
     dims = [_position(by_size, F.col("row")), _position(by_id, F.col("row")), *[_position(F.col(c), F.col("row")) for c in cats]]
-    state = head.select("doc_id", "size", "text_crc32", "row", F.array(*dims).alias("dims"))
+    state = head.select("doc_id", "size", "text_crc32", "row", "number", F.array(*dims).alias("dims"))
     leaf_bytes = max(1, (total or 0) / shards)
     tree: dict = {"first": 0, "leaves": shards}
     level, wide = [tree] if shards > 1 and rows else [], None
@@ -118,26 +123,33 @@ def kd_shards(
         level = [child for node in level for child in (node["left"], node["right"]) if child["leaves"] > 1]
     state = state.withColumn("node", _leaf(tree))
 
-    placed = state.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"), "row")
+    placed = state.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"), "row", "number")
     parts = max(1, -(-(rows or 0) // (shards * SLOT_ROWS)))
     placed = stored(placed.withColumn("part", F.pmod(F.col("row"), F.lit(parts)).cast("int")), "placed")
-    counts = placed.groupBy("shard", "part").count().collect()  # shards * rows / SLOT_ROWS numbers, not rows
-    return _numbered(placed, counts)
-
-
-def _numbered(placed: DataFrame, counts: list) -> DataFrame:
-    spark, start, seen = placed.sparkSession, [], {}
-    for shard, part, n in sorted(tuple(c) for c in counts):
-        start.append((shard, part, seen.get(shard, 0)))
-        seen[shard] = seen.get(shard, 0) + n
-    offsets = number_rows(spark, start, "shard int, part int, start long")
-    nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size", "row"))
-    return placed.withColumn("nth", nth).join(offsets, ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("nth") - 1).alias("slot"))
-
-
-def write_shards(docs: DataFrame, path: str, *, shards: int, id_col: str = "doc_id", **options) -> DataFrame:
-    """Writes docs as Parquet under path/shard=N, each row at its shard, and returns the placement."""
-    placement = stored(kd_shards(docs, shards=shards, id_col=id_col, **options), "placement")
-    at = placement.select(F.col("doc_id").alias("_shard_id"), "shard").dropDuplicates(["_shard_id"])
-    docs.drop("shard").join(at, F.col(id_col).cast("long").eqNullSafe(F.col("_shard_id"))).drop("_shard_id").write.partitionBy("shard").parquet(path)
-    return placement
+    return _numbered(placed)
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    """placed with slots: each part of a shard goes on where the parts before it end."""
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))  # a row for every SLOT_ROWS rows
+    offsets = counts.select(F.col("shard").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size", "row", "number"))
+    joined = placed.withColumn("nth", nth).join(offsets, (F.col("shard") == F.col("s")) & (F.col("part") == F.col("p")))
+    return joined.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("nth") - 1).alias("slot"), "number")
+
+
+def write_shards(
+    docs: DataFrame, path: str, *, shards: int, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source"), tolerance: float = TOLERANCE
+) -> DataFrame:
+    """Writes docs as Parquet under path/shard=N, each row in its own shard, and returns kd_shards' placement of them.
+
+    Rows are stored with a number first, so that rows with one id, or equal ones, go where the placement says.  A column
+    `shard` that docs has is replaced.
+    """
+    number, at = free_names(docs, "number", "at")
+    rows = stored(docs.drop("shard").withColumn(number, F.monotonically_increasing_id()), "numbered")
+    placement = stored(_placed(rows, shards, id_col, text_col, categories, tolerance, number), "placement")
+    where = placement.select(F.col("number").alias(at), "shard")
+    rows.join(where, F.col(number) == F.col(at)).drop(number, at).write.partitionBy("shard").parquet(path)
+    return placement.drop("number")

@@ -352,10 +352,31 @@ def test_sharding(spark, odd, empty):
     sizes = [sum(r["size"] for r in v) for v in by.values()]
     assert set(by) == set(range(7)) and max(sizes) - min(sizes) <= 2 * max(r["size"] for r in got)
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+    want = sorted((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == want
     assert sharding.kd_shards(odd, shards=3).count() == odd.count()
     assert sharding.kd_shards(empty, shards=3).count() == 0
 
 
+def test_equal_rows_are_split(spark):
+    docs = spark.createDataFrame([(1, "the same text " * 20, "en", "a")] * 500 + [(i, f"text {i} " * 30, "en", "a") for i in range(500)], "doc_id long, text string, lang string, source string")
+    sizes = {}
+    for r in sharding.kd_shards(docs, shards=8).collect():
+        sizes.setdefault(r.shard, []).append(r["size"])
+    assert len(sizes) == 8 and max(map(sum, sizes.values())) - min(map(sum, sizes.values())) <= 3 * 330
+
+
+def test_write_shards(spark, tmp_path):
+    rows = [(i // 3, f"text {i} " * (1 + i % 7), "x", i) for i in range(300)] + [(None, None, "y", 0), (None, "z", "y", 1), (7, "equal", "y", 2), (7, "equal", "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, number int")
+    placement = sharding.write_shards(docs, str(tmp_path / "out"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    there = sorted(str((r[0], r[1], r[2])) for r in back.select("shard", "doc_id", crc).collect())
+    assert there == sorted(str((r.shard, r.doc_id, r.text_crc32)) for r in placement.collect())
+
+
 def test_telephony(spark, odd, empty):
     for tag in (telephony.MULAW, telephony.ALAW, telephony.IMA):
         payload = bytes(range(256)) * 2
