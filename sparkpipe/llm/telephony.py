@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from .util import arrow_rows
 
@@ -119,6 +120,28 @@ def pcm_pieces(media: bytes) -> Iterator[np.ndarray]:
         raise ValueError(f"format {tag} is no telephony format")
 
 
+def pcm_of(files: list[bytes]) -> Iterator[Iterator[np.ndarray]]:
+    """pcm_pieces of each file; the ADPCM blocks of short files, PIECE samples or so, are decoded together."""
+    lo = 0
+    while lo < len(files):
+        hi, samples, ready = lo, 0, {}
+        blocks: list[tuple[int, np.ndarray]] = []
+        while hi < len(files) and samples < PIECE:
+            tag, _, block, data = read_wave(files[hi])
+            if tag == IMA and block == BLOCK + 4 and 2 * len(data) <= PIECE:
+                raw = np.frombuffer(data, np.uint8)
+                blocks.append((hi, raw[: len(raw) // block * block].reshape(-1, block)))
+                samples += 2 * len(raw)
+            hi += 1
+        if blocks:
+            pcm = decode_ima(np.concatenate([b for _, b in blocks]))
+            ends = np.cumsum([len(b) for _, b in blocks])
+            ready = {i: pcm[end - len(b) : end].reshape(-1) for (i, b), end in zip(blocks, ends.tolist(), strict=True)}
+        for i in range(lo, hi):
+            yield iter((ready[i],)) if i in ready else pcm_pieces(files[i])
+        lo = hi
+
+
 def resampled(pieces: Iterator[np.ndarray], first: int, times: int = OUT_RATE // RATE) -> Iterator[np.ndarray]:
     """PCM at `times` the rate by straight lines between samples; `first` is the sample before the start."""
     last = first
@@ -149,27 +172,41 @@ def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 media = [store(t + bytes(max(64, -(-len(t) // 64) * 64) - len(t)), (MULAW, ALAW, IMA)[zlib.crc32(t) % 3]) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return arrow_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), run, "doc_id long, n_bytes long, media binary")
+    return arrow_rows(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`")), run, "doc_id long, n_bytes long, media binary")
 
 
 def decode_media(stored: DataFrame, *, media_col: str = "media") -> DataFrame:
-    """stored with pcm (binary, 16-bit little-endian at OUT_RATE); null and unreadable media have none."""
+    """stored with part and pcm (binary, 16-bit little-endian at OUT_RATE): a row for each PIECE samples of a file, from part 0.
+
+    Null and unreadable media have one row without pcm.  Columns `part` and `pcm` that stored has are replaced; others
+    pass through.  Repeated rows and null ids stay.  An empty table gives an empty result.
+    """
+    place = stored.columns.index(media_col)
+    keep = [i for i, n in enumerate(stored.columns) if n not in ("part", "pcm")]
+
+    def readable(media: bytes | None) -> bool:
+        try:
+            return media is not None and read_wave(media)[0] in (IMA, MULAW, ALAW)
+        except (ValueError, struct.error):
+            return False
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                made = []
-                for m in part.column(batch.schema.get_field_index(media_col)).to_pylist():
-                    try:
-                        made.append(None if m is None else b"".join(p.astype("<i2").tobytes() for p in resampled(pcm_pieces(m), 0)))
-                    except (ValueError, struct.error):
-                        made.append(None)
-                keep = [i for i, n in enumerate(part.schema.names) if n != "pcm"]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + [pa.array(made, pa.binary())], [part.schema.names[i] for i in keep] + ["pcm"])
+                files = part.column(place).to_pylist()
+                good = [i for i, m in enumerate(files) if readable(m)]
+                decoded = iter(pcm_of([files[i] for i in good]))
+                for i in range(len(files)):
+                    row = [part.column(k).slice(i, 1) for k in keep]
+                    pieces = resampled(next(decoded), 0) if good and i in good else iter((None,))
+                    for n, p in enumerate(pieces):
+                        pcm = None if p is None else p.astype("<i2").tobytes()
+                        yield pa.RecordBatch.from_arrays([*row, pa.array([n], pa.int32()), pa.array([pcm], pa.binary())], names)
 
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema if f.name != "pcm")
-    return arrow_rows(stored, run, f"{rest}, pcm binary")
+    fields = [stored.schema.fields[i] for i in keep]
+    names = [f.name for f in fields] + ["part", "pcm"]
+    return arrow_rows(stored, run, StructType([*fields, StructField("part", IntegerType()), StructField("pcm", BinaryType())]))
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
@@ -184,12 +221,12 @@ def media_digests(stored: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows: list[list] = [[] for _ in range(6)]
-                for media in part.column(2):
-                    m = media.as_buffer().to_pybytes()
+                files = [media.as_buffer().to_pybytes() for media in part.column(2)]
+                for m, pieces in zip(files, pcm_of(files), strict=True):
                     payload = payload_of(m)
                     n = peak = size = turns = crc = 0
                     sign = None
-                    for p in resampled(pcm_pieces(m), 0):
+                    for p in resampled(pieces, 0):
                         a = np.abs(p.astype(np.int32))
                         n, peak, size = n + len(p), max(peak, int(a.max())), size + int(a.sum())
                         s = p < 0
