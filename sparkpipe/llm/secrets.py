@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +23,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: What the method adds: private key headers and web tokens.
 EXTRA = (("private", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")), ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+")))
 MIN_ASSIGNED = 6
-#: A value with this many owners is a widely copied example.
-WIDE_OWNERS = 3
+#: A value with this many owners is a widely copied example, and so is one with two owners and this many repositories;
+#: one owner's value is that owner's, in however many repositories.
+WIDE_OWNERS, WIDE_REPOS = 3, 6
+#: What stands in for a credential, in lower case (fixed values).
+PLACEHOLDERS = "example sample dummy changeme placeholder your test xxxx 1234 abcd".split()
+#: Bits a letter from which on a value looks random.
+MIN_ENTROPY = 2.9
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -35,17 +42,29 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+def looks_live(secret: str) -> bool:
+    """Whether a value looks random: enough bits a letter, two kinds of letters at least, and no placeholder in it."""
+    n, low = len(secret), secret.lower()
+    entropy = -sum(c / n * log2(c / n) for c in Counter(secret).values())
+    kinds = any(c.isdigit() for c in secret) + any(c.islower() for c in secret) + any(c.isupper() for c in secret)
+    return entropy >= MIN_ENTROPY and kinds >= 2 and not any(p in low for p in PLACEHOLDERS)
+
+
 def _name(spans: list[tuple[int, int, int, str]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b, _ in spans)
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), wide_owners: int = WIDE_OWNERS) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_spans, spans, n_shared, n_live): one row per row of docs.
+def scan_secrets(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), wide_owners: int = WIDE_OWNERS,
+    wide_repos: int = WIDE_REPOS,
+) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_spans, spans, n_shared, n_live, most_repos, live_spans): a row per row of docs.
 
     Candidates are found in each whole text; their values' SHA-256 digests are counted over the corpus by distinct
-    owners and repositories (the combinations of repo_cols).  A candidate whose value has at least wide_owners owners is
-    shared: a widely copied example.  One of fewer owners is owner-specific, and live if it looks random, that is, if it
-    has eight different characters at least.  n_shared and n_live count a row's candidates.
+    owners and repositories (the combinations of repo_cols).  A candidate is shared, a widely copied example, if its
+    value has wide_owners owners, or two and wide_repos repositories.  Any other is specific to its owners, and live if
+    it looks so (looks_live).  n_shared and n_live count a row's candidates, live_spans names the live ones, most_repos
+    is the largest number of repositories that any of them has.
 
     Null texts count as empty, null owners and repositories as one owner or repository of their own.  Repeated rows
     stay and count once for their owner.  An empty table gives an empty result.  Other columns are not read.
@@ -63,23 +82,26 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 extra = [(m.start(), len(KINDS) + i, m.end(), m[0]) for i, (_, p) in enumerate(EXTRA) if "-----BEGIN" in text or "eyJ" in text for m in p.finditer(text)]
                 spans = sorted(base + extra)
                 digests = [int.from_bytes(hashlib.sha256(s.encode()).digest()[:8], "little", signed=True) for *_, s in spans]
-                row = (*(sum(k == i for _, k, _, _ in base) for i in range(3)), _name(base, kinds), _name(spans, kinds), digests, [len(set(s)) >= 8 for *_, s in spans])
+                row = (*(sum(k == i for _, k, _, _ in base) for i in range(3)), _name(base, kinds), _name(spans, kinds), digests, [looks_live(s) for *_, s in spans])
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *(pa.array(c, k) for c, k in zip(cols, kind_of, strict=True))], names)
 
     repo = F.xxhash64(*[F.col(f"`{c}`") for c in repo_cols])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{owner_col}`")).alias("owner"), repo.alias("repo"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{owner_col}`")).alias("owner"), repo.alias("repo"), F.col(f"`{text_col}`").alias("text"))
     schema = "doc_id long, owner long, repo long, n_assign long, n_access long, n_hex long, base_spans string, spans string, digests array<bigint>, random array<boolean>"
     found = stored(arrow_rows(rows, run, schema).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    each = found.select("row", "owner", "repo", F.explode(F.arrays_zip("digests", "random")).alias("x")).select("row", "owner", "repo", F.col("x.digests").alias("digest"), "x.random")
+    each = found.select("row", "owner", "repo", F.posexplode(F.arrays_zip("digests", "random")).alias("place", "x")).select("row", "owner", "repo", "place", F.col("x.digests").alias("digest"), "x.random")
     spread = each.select("digest", "owner", "repo").distinct().groupBy("digest").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
-    told = each.select("row", "random", splittable("digest").alias("k")).join(spread.select(splittable("digest").alias("k"), "owners", "repos"), "k")
-    shared = F.col("owners") >= wide_owners
+    told = each.select("row", "place", "random", splittable("digest").alias("k")).join(spread.select(splittable("digest").alias("k"), "owners", "repos"), "k")
+    shared = (F.col("owners") >= wide_owners) | (F.col("owners") >= 2) & (F.col("repos") >= wide_repos)
+    live = ~shared & F.col("random")
     summed = told.groupBy("row").agg(
-        F.count_if(shared).alias("n_shared"), F.count_if(~shared & F.col("random")).alias("n_live"), F.max("repos").alias("most_repos")
-    )
+        F.count_if(shared).alias("n_shared"), F.count_if(live).alias("n_live"), F.max("repos").alias("most_repos"), F.array_sort(F.collect_list(F.when(live, F.col("place")))).alias("live")
+    )  # a row's own candidates
     zero = F.lit(0).cast("long")
+    live_spans = F.array_join(F.transform("live", lambda i: F.get(F.split("spans", ","), i)), ",")
     return found.join(summed, "row", "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_spans", "spans", *[F.coalesce(c, zero).alias(c) for c in ("n_shared", "n_live", "most_repos")]
-    )
+        "doc_id", "n_assign", "n_access", "n_hex", "base_spans", "spans", *[F.coalesce(c, zero).alias(c) for c in ("n_shared", "n_live", "most_repos")],
+        F.coalesce(live_spans, F.lit("")).alias("live_spans"),
+    )

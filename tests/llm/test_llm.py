@@ -397,9 +397,39 @@ def test_telephony(spark, odd, empty):
     stored = telephony.store_media(odd)
     assert telephony.media_digests(stored).count() == odd.count()
     assert telephony.decode_media(stored).where("pcm IS NULL").count() == 0
+    clash = stored.select("*", F.lit(1).alias("part"), F.lit("x").alias("pcm"), F.lit(2).alias("other")).unionByName(spark.createDataFrame([(9, 1, b"no wave", 1, "x", 2), (8, 1, None, 1, "x", 2)], "doc_id long, n_bytes long, media binary, part int, pcm string, other int"))
+    back = telephony.decode_media(clash)
+    assert back.columns == ["doc_id", "n_bytes", "media", "other", "part", "pcm"] and back.count() == clash.count() and back.where("pcm IS NULL").count() == 2
     assert telephony.media_digests(telephony.store_media(empty)).count() == 0
 
 
+def test_telephony_features(spark):
+    """The query's rows against one file at a time, sample by sample where that is plain, and parts of a long file."""
+    rows = [(i, ("text %d " % i) * (i * 7 % 90)) for i in range(120)] + [(200, None), (201, LONG * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stored = telephony.store_media(docs)
+    got = {r.doc_id: r for r in telephony.media_digests(stored).collect()}
+    parts = {}
+    for r in telephony.decode_media(stored).orderBy("doc_id", "part").collect():
+        parts[r.doc_id] = parts.get(r.doc_id, b"") + r.pcm
+    kinds = set()
+    for i, text in rows:
+        t = (text or "").encode()
+        payload = t + bytes(max(64, -(-len(t) // 64) * 64) - len(t))
+        tag = (telephony.MULAW, telephony.ALAW, telephony.IMA)[zlib.crc32(t) % 3]
+        kinds.add(tag)
+        media = telephony.store(payload, tag)
+        (slow,) = (np.concatenate(list(telephony.pcm_pieces(media))),)
+        pcm = np.empty(2 * len(slow), dtype=np.int64)
+        pcm[1::2], pcm[::2] = slow, (np.concatenate(([0], slow[:-1].astype(int))) + slow) // 2
+        feature = f"{tag}:{len(pcm)}:{abs(pcm).max()}:{abs(pcm).sum() * 1000 // len(pcm)}:{((pcm[1:] < 0) != (pcm[:-1] < 0)).sum()}:{zlib.crc32(pcm.astype('<i2'))}"
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(media), hashlib.sha256(media).hexdigest(), feature)
+        assert parts[i] == pcm.astype("<i2").tobytes()
+    assert len(kinds) == 3
+
+
 def test_secrets(spark, odd, empty):
     r, parts = random.Random(4), ["password", "TOKEN", "api_key", "=", ":", " ", '"', "secret", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "abc", "x1/+", "ſecret", "\n"]
     for _ in range(3000):
@@ -407,12 +437,33 @@ def test_secrets(spark, odd, empty):
         want = [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         want += [(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 6]
         assert [x[:3] for x in secrets.base_spans(t)] == sorted(want)
-    key = "password=hunter2abcXYZ"
-    docs = spark.createDataFrame([(i, key if i < 4 else "token: Qw3rTy19zX", "en", f"s{i}", i) for i in range(5)], DOC)
-    assert {(x.doc_id, x.n_shared, x.n_live) for x in secrets.scan_secrets(docs).collect()} == {(0, 1, 0), (1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 0, 1)}
     assert secrets.scan_secrets(odd).count() == odd.count() and secrets.scan_secrets(empty).count() == 0
 
 
+def test_secret_ownership(spark):
+    """Against a plain count of owners and repositories over all rows."""
+    r = random.Random(9)
+    values = ["".join(r.choice("abcdefghjkmnpqrsuvwzABCDEFGH23456789") for _ in range(20)) for _ in range(8)] + ["your_password_here", "aaaaaaaaaaaa"]
+    rows = []
+    for i in range(80):
+        v = r.sample(range(10), r.randrange(3))
+        source = f"s{r.randrange(8)}" if not v or v[0] % 2 else f"s{v[0]}"
+        rows.append((i, " and ".join(f"password={values[j]}" for j in v), r.choice(["en", "de", "fr", None]), None if i % 11 == 0 else source, i))
+    owners, repos = {}, {}
+    for _, t, lang, source, _ in rows:
+        for v in re.findall("password=(\\S+)", t):
+            owners.setdefault(v, set()).add(source)
+            repos.setdefault(v, set()).add((source, lang))
+    want = {}
+    for i, t, *_ in rows:
+        spans = [(m.start(), m.end(), m[1]) for m in re.finditer("password=(\\S+)", t)]
+        shared = [len(owners[v]) >= 3 or len(owners[v]) == 2 and len(repos[v]) >= 6 for *_, v in spans]
+        live = [f"assign:{a}:{b}" for (a, b, v), s in zip(spans, shared, strict=True) if not s and v not in values[8:]]
+        want[i] = (sum(shared), len(live), max([len(repos[v]) for *_, v in spans], default=0), ",".join(live))
+    got = {x.doc_id: (x.n_shared, x.n_live, x.most_repos, x.live_spans) for x in secrets.scan_secrets(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == want and any(x[0] for x in got.values()) and any(x[1] for x in got.values())
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
