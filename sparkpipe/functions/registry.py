@@ -17,6 +17,7 @@ class Function:
     most: int = 1
     build: Callable | None = field(default=None, compare=False)
     user: bool = False
+    sql: str | None = None
 
 
 _FUNCTIONS: dict[str, Function] = {}
@@ -66,11 +67,14 @@ def functions() -> dict[str, Function]:
     return dict(_FUNCTIONS)
 
 
-def register_function(name: str, build: Callable, *, least: int = 1, most: int | None = None, context: str = "e") -> None:
-    """Makes build(*columns) -> Column, a Spark or pandas UDF among others, callable as `name` (context e or p)."""
+def register_function(name: str, build: Callable, *, least: int = 1, most: int | None = None, context: str = "e", sql: str | None = None) -> None:
+    """Makes build(*columns) -> Column, a Spark or pandas UDF among others, callable as `name` (context e or p).
+
+    sql is its text for plans that are written as SQL, with {0}, {1} ... for the arguments.
+    """
     if name in _FUNCTIONS and not _FUNCTIONS[name].user:
         raise ValueError(f"{name} is built in")
-    _FUNCTIONS[name] = Function(name, frozenset(context), least, most or least, build, True)
+    _FUNCTIONS[name] = Function(name, frozenset(context), least, most or least, build, True, sql)
 
 
 def unregister_function(name: str) -> None:

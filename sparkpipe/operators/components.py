@@ -47,5 +47,6 @@ def label_edges(df: DataFrame, f: str, g: str, name: str) -> DataFrame:
     labels = connected_components(df.select(quoted(f).alias("u"), quoted(g).alias("v")))
     end = F.coalesce(quoted(f), quoted(g))
     rest = [quoted(c) for c in df.columns if c != name]
-    joined = df.join(labels.select(F.struct("node").alias("_node"), F.col("label").alias("_label")), F.struct(end.alias("node")) == F.col("_node"), "left")
-    return joined.select(*rest, F.coalesce(F.col("_label"), end).alias(name))
+    node, label = (next(n for i in range(len(df.columns) + 1) if (n := base + "_" * i) not in {c.lower() for c in df.columns}) for base in ("_node", "_label"))
+    joined = df.join(labels.select(F.struct("node").alias(node), F.col("label").alias(label)), F.struct(end.alias("node")) == F.col(node), "left")
+    return joined.select(*rest, F.coalesce(F.col(label), end).alias(name))

@@ -124,7 +124,7 @@ class RecordMap:
             if keys and not df.groupBy(*map(quoted, keys)).count().where("count > 1").limit(1).isEmpty():
                 raise ValueError(f"rows are not keyed by {keys}")
         if self.blocks_in is not None:
-            df = _to_rows(df, self.blocks_in)
+            df = rows_of_blocks(df, self.blocks_in)
         return df if self.blocks_out is None else _to_blocks(df, self.blocks_out)
 
     transform = apply
@@ -189,7 +189,7 @@ class RecordMap:
         return f"RecordMap(blocks_in={self.blocks_in!r}, blocks_out={self.blocks_out!r}, strict={self.strict!r})"
 
 
-def _to_rows(df: DataFrame, spec: RecordSpecification) -> DataFrame:
+def rows_of_blocks(df: DataFrame, spec: RecordSpecification) -> DataFrame:
     """One aggregate: for each cell the largest value at its control key; a missing row gives null."""
     cells = {}
     for i in range(spec.n_rows):
@@ -201,21 +201,29 @@ def _to_rows(df: DataFrame, spec: RecordSpecification) -> DataFrame:
     return df.groupBy(*map(quoted, spec.record_keys)).agg(*[cells[c].alias(c) for c in spec.content_keys])
 
 
-def _to_blocks(df: DataFrame, spec: RecordSpecification) -> DataFrame:
-    """One row per control row: an exploded array of structs, so no shuffle."""
-    types = dict(zip(df.columns, df.schema, strict=True))
+def common_types(types: dict, spec: RecordSpecification) -> dict[str, str]:
+    """For each value column the type that its cells share; types: fields by name."""
     common = {}
     for c in spec.value_columns:
-        kinds = {kind_of(types[v].dataType) for v in spec.control_table[c]} - {"null"}
+        found = [types[v].dataType for v in spec.control_table[c]]
+        kinds = {kind_of(t) for t in found} - {"null"}
         if len(kinds) > 1 and kinds != {"int", "float"}:
             raise ValueError(f"cells of {c} have no common type: {sorted(kinds)}")
-        found = [types[v].dataType for v in spec.control_table[c]]
         common[c] = "double" if kinds == {"int", "float"} else "bigint" if kinds == {"int"} else found[0].simpleString()
+    return common
+
+
+def _to_blocks(df: DataFrame, spec: RecordSpecification) -> DataFrame:
+    """One row per control row: an exploded array of structs, so no shuffle."""
+    common = common_types(dict(zip(df.columns, df.schema, strict=True)), spec)
     rows = [
         F.struct(*[(F.lit(v[i]) if c in spec.control_table_keys else quoted(v[i]).cast(common[c])).alias(f"f{j}") for j, (c, v) in enumerate(spec.control_table.items())]) for i in range(spec.n_rows)
     ]
-    out = df.select(*map(quoted, spec.record_keys), F.explode(F.array(*rows)).alias("_row"))
-    return out.select(*map(quoted, spec.record_keys), *[F.col(f"_row.f{j}").alias(c) for j, c in enumerate(spec.control_table)])
+    row = "_row"
+    while row in {k.lower() for k in spec.record_keys}:
+        row += "_"
+    out = df.select(*map(quoted, spec.record_keys), F.explode(F.array(*rows)).alias(row))
+    return out.select(*map(quoted, spec.record_keys), *[F.col(f"{row}.f{j}").alias(c) for j, c in enumerate(spec.control_table)])
 
 
 def pivot_specification(*, row_keys, col_name_key: str, col_value_key: str, value_cols: list[str]) -> RecordMap:

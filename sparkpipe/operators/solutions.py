@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.registry import functions, register_function
 from ..plans.expr import Lit, call, col
 from ..plans.nodes import Plan, table
 from .records import RecordSpecification
@@ -35,18 +34,9 @@ def rank_to_average(plan: Plan, *, rank_column: str, value_column: str, partitio
     return plan.extend({rank_column: col(value_column).rank()}, partition_by=partition_by or 1)
 
 
-def replicate_rows(plan: Plan, *, count_column: str, seq_column: str = "seq"):
-    """A function of tables that repeats each row as often as its count says, numbered from 0; none for null or less than 1."""
-    from pyspark.sql import functions as F
-
-    from ..functions.columns import quoted
-
-    def run(tables=None):
-        df = plan.evaluate(tables)
-        n = quoted(count_column).cast("bigint")
-        return df.select(*map(quoted, plan.columns), F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1))).alias(seq_column))
-
-    return run
+def replicate_rows(plan: Plan, *, count_column: str, seq_column: str = "seq") -> Plan:
+    """Each row as often as its count says, numbered from 0; none for null or less than 1."""
+    return plan.replicate_rows(count_column, seq_column=seq_column)
 
 
 def multi_column_map(d: Plan, mapping: Plan, *, row_keys, columns, name_key: str = "column_name", value_key: str = "column_value", mapped_key: str = "mapped_value", default=None) -> Plan:
@@ -63,10 +53,8 @@ def xicor(plan: Plan, *, x: str, y: str, group_by=(), tie_break=(), result: str
     """Chatterjee's rank correlation of y on x per group.  Ties of x go by tie_break, a total order in place of chance."""
     group = [group_by] if isinstance(group_by, str) else list(group_by)
     ties, part = [tie_break] if isinstance(tie_break, str) else list(tie_break), group or 1
-    if "_negated" not in functions():
-        register_function("_negated", lambda c: -c)
     p = plan.select_columns(list(dict.fromkeys([*group, x, y, *ties]))).select_rows(f"not (`{x}`.is_null() or `{y}`.is_null())")
-    p = p.extend({"_down": call("_negated", col(y))})
+    p = p.extend({"_down": call("neg", col(y))})
     p = p.extend({"_rank": col(y).rank()}, partition_by=part).extend({"_back": col("_down").rank()}, partition_by=part)
     p = p.extend({"_same": Lit(1).size()}, partition_by=[*group, y]).extend({"_n": Lit(1).size()}, partition_by=part)
     # the largest place of a tie, from above and from below

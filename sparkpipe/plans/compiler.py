@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,14 +15,28 @@ from .expr import Call, Col, Lit
 
 def compile_plan(plan: N.Plan, tables: dict[str, DataFrame], *, strict: bool = False) -> DataFrame:
     """The plan over tables by name; a shared node becomes one DataFrame, so Spark can reuse its exchanges."""
+    return compiled_nodes(plan, tables, strict=strict)[id(plan)]
+
+
+def compiled_nodes(plan: N.Plan, tables: dict[str, DataFrame], *, strict: bool = False) -> dict[int, DataFrame]:
+    """The lazy DataFrame of every node, by the node's id."""
     memo: dict[int, DataFrame] = {}
+    for p in plan.nodes():
+        memo[id(p)] = _STEPS[type(p)](p, *[memo[id(s)] for s in p.sources]) if p.sources else _leaf(p, tables, strict)
+    return memo
+
+
+def _free(*frames: DataFrame) -> Callable[[str], str]:
+    """Names that none of the frames has, whatever their case."""
+    taken = {c.lower() for f in frames for c in f.columns}
 
-    def go(p: N.Plan) -> DataFrame:
-        if id(p) not in memo:
-            memo[id(p)] = _STEPS[type(p)](p, *[go(s) for s in p.sources]) if p.sources else _leaf(p, tables, strict)
-        return memo[id(p)]
+    def name(like: str) -> str:
+        while like.lower() in taken:
+            like += "_"
+        taken.add(like.lower())
+        return like
 
-    return go(plan)
+    return name
 
 
 def _leaf(p: N.Plan, tables: dict[str, DataFrame], strict: bool) -> DataFrame:
@@ -61,9 +77,11 @@ def _extend(p: N.Extend, df: DataFrame) -> DataFrame:
     rest = {k: t for k, t in p.ops if k not in monotone and k not in grouped}
     if not p.partition_by and not p.order_by and all(t.op not in ("rank",) for t in rest.values()) and not grouped:
         # one row of totals beside all rows, instead of all rows in one task
-        totals = df.agg(*[_global(e, t).alias(f"_{i}") for i, t in enumerate(rest.values())])
+        free = _free(df)
+        names = {k: free(f"_{i}") for i, k in enumerate(rest)}
+        totals = df.agg(*[_global(e, t).alias(names[k]) for k, t in rest.items()])
         both = df.crossJoin(F.broadcast(totals))
-        return _assigned(both, p.columns, {k: F.col(f"_{i}") for i, k in enumerate(rest)})
+        return _assigned(both, p.columns, {k: quoted(n) for k, n in names.items()})
     for k, t in monotone.items():
         x, part = e.column(t.args[0]), Window.partitionBy(*map(quoted, p.partition_by))
         before = F.lag(x).over(part.orderBy(*order))
@@ -78,14 +96,29 @@ def _extend(p: N.Extend, df: DataFrame) -> DataFrame:
         if not keys:
             out = _assigned(out, p.columns, {k: F.lit(0).cast("bigint") for k in grouped})
         else:
-            distinct = df.select(*map(quoted, keys)).distinct()
-            number = (F.row_number().over(Window.orderBy(*[quoted(k).asc_nulls_last() for k in keys])) - 1).cast("bigint")
-            numbered = distinct.select(*[quoted(k).alias(f"_k{i}") for i, k in enumerate(keys)], number.alias("_n"))
-            match = [quoted(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-            out = _assigned(out.join(numbered, match, "left"), p.columns, {k: F.col("_n") for k in grouped})
+            free = _free(out)
+            at, number = [free(f"_k{i}") for i in range(len(keys))], free("_n")
+            numbered = numbered_rows(df.select(*map(quoted, keys)).distinct(), keys, number)
+            numbered = numbered.select(*[quoted(k).alias(n) for k, n in zip(keys, at, strict=True)], quoted(number))
+            match = [quoted(k).eqNullSafe(quoted(n)) for k, n in zip(keys, at, strict=True)]
+            out = _assigned(out.join(numbered, match, "left"), p.columns, {k: quoted(number) for k in grouped})
     return out.select(*map(quoted, p.columns))
 
 
+def numbered_rows(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with the place of each row by keys, nulls last, from 0: ranges of keys are numbered side by side, and each goes
+    on where those before it end."""
+    free = _free(df)
+    part, rows, before = free("_part"), free("_rows"), free("_before")
+    order = [quoted(k).asc_nulls_last() for k in keys]
+    ranged = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(rows))  # a row a partition
+    starts = counts.select(quoted(part).alias(before), F.coalesce(F.sum(quoted(rows)).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(rows))
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1 + quoted(rows)
+    both = ranged.join(F.broadcast(starts), quoted(part) == quoted(before))
+    return both.select(*map(quoted, df.columns), place.cast("bigint").alias(name))
+
+
 def _global(e: Expressions, t: Call):
     return F.count(F.lit(1)) if t.op == "_count" else e.aggregate(t)
 
@@ -119,7 +152,8 @@ def _join(p: N.NaturalJoin, a: DataFrame, b: DataFrame) -> DataFrame:
     for x, y in [*p.on, *((c, c) for c in right if c in left)]:
         if not compatible(left[x].dataType, right[y].dataType):
             raise ValueError(f"{x} and {y} have types that don't compare")
-    at = {c: f"_r{i}" for i, c in enumerate(p.b.columns)}
+    free = _free(a, b)
+    at = {c: free(f"_r{i}") for i, c in enumerate(p.b.columns)}
     b = b.select(*[quoted(c).alias(n) for c, n in at.items()])  # new names: one table may stand on both sides
     if p.hint:
         b = b.hint(p.hint)
@@ -127,7 +161,7 @@ def _join(p: N.NaturalJoin, a: DataFrame, b: DataFrame) -> DataFrame:
         both = a.crossJoin(b)
     else:
         match = [quoted(x) == F.col(at[y]) for x, y in p.on]
-        both = a.join(b, match or F.lit(True), N.JOINS[p.jointype])
+        both = a.join(b, match, N.JOINS[p.jointype])
     return both.select(*[
         (F.coalesce(quoted(c), F.col(at[c])).alias(c) if c in at else quoted(c)) if c in left else F.col(at[c]).alias(c) for c in p.columns
     ])
@@ -144,6 +178,11 @@ def _concat(p: N.ConcatRows, a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def _replicate(p: N.ReplicateRows, df: DataFrame) -> DataFrame:
+    n = quoted(p.count_column).cast("bigint")
+    return df.select(*map(quoted, p.source.columns), F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n - 1))).alias(p.seq_column))
+
+
 def _records(p: N.ConvertRecords, df: DataFrame) -> DataFrame:
     return p.record_map.apply(df, validate=p.validate)
 
@@ -152,5 +191,6 @@ _STEPS = {
     N.Extend: _extend, N.Project: _project, N.SelectRows: lambda p, df: df.filter(Expressions(df).column(p.expr)),
     N.SelectColumns: lambda p, df: df.select(*map(quoted, p.columns)), N.DropColumns: lambda p, df: df.select(*map(quoted, p.columns)),
     N.RenameColumns: _renamed, N.MapColumns: _renamed, N.OrderRows: _order, N.NaturalJoin: _join, N.ConcatRows: _concat, N.ConvertRecords: _records,
+    N.ReplicateRows: _replicate,
 }
 __all__ = ["Col", "compile_plan"]

@@ -6,7 +6,7 @@ import ast
 
 from .nodes import Plan, sql_table, table
 
-_METHODS = frozenset("extend project select_rows select_columns drop_columns rename_columns map_columns order_rows natural_join concat_rows convert_records".split())
+_METHODS = frozenset("extend project select_rows select_columns drop_columns rename_columns map_columns order_rows natural_join concat_rows convert_records replicate_rows".split())
 
 
 def load_plan(text: str) -> Plan:

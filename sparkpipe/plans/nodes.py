@@ -115,6 +115,10 @@ class Plan:
 
         return self.convert_records(RecordMap(blocks_in=blocks_in, blocks_out=blocks_out, strict=strict), validate=validate)
 
+    def replicate_rows(self, count_column: str, *, seq_column: str = "seq") -> Plan:
+        """Each row as often as its count says, numbered from 0; none for null or less than 1."""
+        return ReplicateRows(self._bare(), count_column, seq_column)
+
     def use(self, f: Callable, *args, **kwargs):
         return f(self, *args, **kwargs)
 
@@ -234,6 +238,12 @@ class Plan:
     def as_table(self, name: str = "data_frame") -> Table:
         return Table(name, tuple(self.columns))
 
+    def to_sql(self, tables: dict | None = None, options=None) -> str:
+        """The plan as Spark SQL over its tables by name; options: a sparkpipe.plans.sql.SqlFormat."""
+        from .sql import to_sql
+
+        return to_sql(self, tables, options)
+
     def to_python(self, pretty: bool = False) -> str:
         """Source that `sparkpipe.plans.loader.load_plan` turns into an equal plan."""
         return self.source_text("\n    " if pretty else "")
@@ -508,6 +518,8 @@ class NaturalJoin(Plan):
             raise KeyError(f"unknown join {self.jointype}")
         if self.jointype == "CROSS" and self.on:
             raise ValueError("a cross join takes no keys")
+        if self.jointype != "CROSS" and not self.on:
+            raise ValueError("a join without keys is a cross join: say CROSS")
         _known([x for x, _ in self.on], self.a.columns, ValueError)
         _known([y for _, y in self.on], self.b.columns, ValueError)
         object.__setattr__(self, "columns", _checked((*self.a.columns, *(c for c in self.b.columns if c not in self.a.columns))))
@@ -575,6 +587,24 @@ class ConvertRecords(_Unary):
         return f"{self.source.source_text(gap)}{gap}.convert_records({self.record_map!r})"
 
 
+@dataclass(frozen=True, eq=False, repr=False)
+class ReplicateRows(_Unary):
+    count_column: str
+    seq_column: str
+
+    def __post_init__(self):
+        _known([self.count_column], self.source.columns, ValueError)
+        if self.seq_column in self.source.columns:
+            raise ValueError(f"{self.seq_column} is a column already")
+        object.__setattr__(self, "columns", _checked((*self.source.columns, self.seq_column)))
+
+    def needs(self, using):
+        return [using - {self.seq_column} | {self.count_column}]
+
+    def source_text(self, gap):
+        return f"{self.source.source_text(gap)}{gap}.replicate_rows({self.count_column!r}, seq_column={self.seq_column!r})"
+
+
 def table(name: str, columns: Iterable[str]) -> Table:
     return Table(name, tuple(columns))
 

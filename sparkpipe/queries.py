@@ -15,6 +15,13 @@ from .plans.nodes import Plan, describe_table, sql_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: What builds each query, a plan in most cases.
+PLANS: dict[str, Callable] = {}
+
+
+#: The rest of a WITH RECURSIVE over the edges e (u, v): cc has the smallest node that each node reaches.
+_CC = """b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), cc(id, label) USING KEY (id) AS (SELECT DISTINCT u, u FROM b
+  UNION SELECT b.v, min(c.label) FROM cc c JOIN b ON b.u = c.id JOIN recurring.cc r ON r.id = b.v WHERE c.label < r.label GROUP BY b.v)"""
 
 
 class _Tables(dict):
@@ -35,7 +42,7 @@ def _q(name: str, build: Callable[[_Tables], Plan | DataFrame], sql: str | None
         out = build(_Tables(spark, sf_dir))
         return out.ex() if isinstance(out, Plan) else out
 
-    QUERIES[name] = run
+    QUERIES[name], PLANS[name] = run, build
     if sql is not None:
         ORACLES[name] = sql
 
@@ -195,26 +202,24 @@ _q("order_multi_reverse", lambda t: t.part.order_rows(["p_size", "p_partkey"], r
 # joins
 
 
+# joins of all customers, whose sides share three segments of five
+
+
 def _ab(t: _Tables) -> tuple[Plan, Plan]:
-    """Two tables that share a key and a column with gaps."""
-    a = t.customer.select_rows("c_custkey <= 100").extend({"k": "c_custkey", "bal": "(c_acctbal > 5000).if_else(None, c_acctbal)"}).select_columns(["k", "bal", "c_name"])
-    b = t.customer.select_rows("c_custkey > 50 and c_custkey <= 150").extend({"k": "c_custkey", "bal": "c_acctbal + 1"}).select_columns(["k", "bal", "c_mktsegment"])
+    a = t.customer.select_rows("c_mktsegment != 'BUILDING'").extend({"k": "c_custkey", "bal": "(c_acctbal > 5000).if_else(None, c_acctbal)"}).select_columns(["k", "bal", "c_name"])
+    b = t.customer.select_rows("c_mktsegment != 'MACHINERY'").extend({"k": "c_custkey", "bal": "c_acctbal + 1"}).select_columns(["k", "bal", "c_mktsegment"])
     return a, b
 
 
-_AB = """a AS (SELECT c_custkey AS k, CASE WHEN NOT c_acctbal > 5000 THEN c_acctbal END AS bal, c_name FROM customer WHERE c_custkey <= 100),
-  b AS (SELECT c_custkey AS k, c_acctbal + 1 AS bal, c_mktsegment FROM customer WHERE c_custkey > 50 AND c_custkey <= 150)"""
+_AB = """a AS (SELECT c_custkey AS k, CASE WHEN NOT c_acctbal > 5000 THEN c_acctbal END AS bal, c_name FROM customer WHERE c_mktsegment <> 'BUILDING'),
+  b AS (SELECT c_custkey AS k, c_acctbal + 1 AS bal, c_mktsegment FROM customer WHERE c_mktsegment <> 'MACHINERY')"""
 for _name, _kind in (("join_inner", "INNER"), ("join_left_coalesce", "LEFT"), ("join_right", "RIGHT"), ("join_full", "FULL"), ("join_outer", "OUTER")):
     _q(_name, lambda t, kind=_kind: (lambda a, b: a.natural_join(b, on="k", jointype=kind))(*_ab(t)),
        f"WITH {_AB} SELECT coalesce(a.k, b.k) AS k, coalesce(a.bal, b.bal) AS bal, c_name, c_mktsegment FROM a {'FULL' if _kind == 'OUTER' else _kind} JOIN b ON a.k = b.k")
-_q("join_cross", lambda t: t.region.natural_join(t.nation, jointype="CROSS"), "SELECT r.*, n.* FROM region r CROSS JOIN nation n")
-_q("join_multi_key", lambda t: t.lineitem.select_columns(["l_orderkey", "l_linenumber", "l_tax"]).natural_join(t.lineitem.extend({"t2": "l_tax * 2"}).select_columns(["l_orderkey", "l_linenumber", "t2"]), on=["l_orderkey", "l_linenumber"]),
-   "SELECT a.l_orderkey, a.l_linenumber, a.l_tax, b.l_tax * 2 AS t2 FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
-_q("join_diff_keys", lambda t: t.nation.natural_join(t.region, on=[("n_regionkey", "r_regionkey")]), "SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey")
 _q("join_three_way", lambda t: t.orders.natural_join(t.customer, on={"o_custkey": "c_custkey"}).natural_join(t.nation, on={"c_nationkey": "n_nationkey"}).project({"n": "_size()", "s": "o_totalprice.sum()"}, group_by=["n_name"]).extend({"s": "s.around(2)"}),
    "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
-_q("anti_join_idiom", lambda t: t.customer.natural_join(t.orders.project({"n": "_size()"}, group_by=["o_custkey"]).rename_columns({"c_custkey": "o_custkey"}), on="c_custkey", jointype="LEFT").select_rows("n.is_null()").select_columns(["c_custkey"]),
-   "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+_q("anti_join_idiom", lambda t: t.customer.natural_join(t.orders.select_rows("o_totalprice > 300000").project({"n": "_size()"}, group_by=["o_custkey"]).rename_columns({"c_custkey": "o_custkey"}), on="c_custkey", jointype="LEFT").select_rows("n.is_null()").select_columns(["c_custkey"]),
+   "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 # sets
 
 
@@ -257,7 +262,7 @@ _q("braid", _braid, """WITH u AS (SELECT user_id, event_id AS moment, value AS s
   SELECT user_id, moment, last_value(state IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY moment, o ROWS UNBOUNDED PRECEDING) AS state, amount, record_type FROM u""")
 _q("rank_to_average", lambda t: S.rank_to_average(t.part, rank_column="r", value_column="p_retailprice", partition_by=["p_brand"]).select_columns(["p_partkey", "r"]),
    "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2 AS r FROM part")
-_q("replicate_rows", lambda t: S.replicate_rows(t.lineitem.extend({"n": "l_linenumber - 1"}).select_columns(["l_orderkey", "l_linenumber", "n"]), count_column="n")(),
+_q("replicate_rows", lambda t: S.replicate_rows(t.lineitem.extend({"n": "l_linenumber - 1"}).select_columns(["l_orderkey", "l_linenumber", "n"]), count_column="n"),
    "SELECT l_orderkey, l_linenumber, CAST(l_linenumber - 1 AS BIGINT) AS n, unnest(range(l_linenumber - 1)) AS seq FROM lineitem")
 
 
@@ -293,28 +298,25 @@ def _sql(t: _Tables) -> DataFrame:
 
 
 _q("sql_node", _sql, "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) > 4")
-_q("connected_components", lambda t: t.lineitem.select_rows("l_orderkey % 7 == 0 or l_linenumber == 1").extend({"f": "l_suppkey", "g": "l_partkey + 1000000"}).select_rows("l_partkey <= 40").extend({"c": connected_components(col("f"), col("g"))}).select_columns(["l_orderkey", "l_linenumber", "c"]),
-   """WITH RECURSIVE e AS (SELECT l_orderkey, l_linenumber, l_suppkey AS f, l_partkey + 1000000 AS g FROM lineitem WHERE (l_orderkey % 7 = 0 OR l_linenumber = 1) AND l_partkey <= 40),
-  b AS (SELECT DISTINCT f AS x, g AS y FROM e UNION SELECT DISTINCT g, f FROM e), r AS (SELECT x AS a, x AS z FROM b UNION SELECT r.a, b.y FROM r JOIN b ON r.z = b.x), m AS (SELECT a, min(z) AS c FROM r GROUP BY a)
-  SELECT l_orderkey, l_linenumber, c FROM e JOIN m ON e.f = m.a""")
-# The same over all of lineitem, without SQL: a test holds it against union-find.
-_q("connected_components_whole", lambda t: t.lineitem.extend({"f": "l_suppkey", "g": "l_partkey + 1000000"}).extend({"c": connected_components(col("f"), col("g"))}).select_columns(["l_orderkey", "l_linenumber", "c"]))
+_q("connected_components", lambda t: t.lineitem.extend({"f": "l_suppkey", "g": "l_partkey + 1000000"}).extend({"c": connected_components(col("f"), col("g"))}).select_columns(["l_orderkey", "l_linenumber", "c"]),
+   f"""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem), {_CC}
+  SELECT l_orderkey, l_linenumber, label AS c FROM lineitem JOIN cc ON id = l_suppkey""")
+_q("connected_components_many", lambda t: t.orders.extend({"f": "o_custkey", "g": "o_orderkey + 1000000000"}).extend({"c": connected_components(col("f"), col("g"))}).select_columns(["o_orderkey", "c"]),
+   f"""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS u, o_orderkey + 1000000000 AS v FROM orders), {_CC} SELECT o_orderkey, label AS c FROM orders JOIN cc ON id = o_custkey""")
+_q("co_equalizer", lambda t: t.orders.extend({"f": "o_custkey", "g": "o_orderkey + 1000000000"}).extend({"c": call("co_equalizer", col("f"), col("g"))}).project({"n": "(1).sum()"}, group_by=["c"]),
+   "SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1")
+_q("overflow", lambda t: t.lineitem.extend({"big": "l_orderkey * 1000000000000000", "k": "l_linenumber"}).extend({"p": "big * big", "s": "big + 9223372036854775800", "d": "-9223372036854775800 - big", "n": "-l_linenumber", "q": "big // 7"})
+   .select_columns(["l_orderkey", "k", "p", "s", "d", "n", "q"]),
+   """WITH b AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS k, CAST(l_orderkey AS HUGEINT) * 1000000000000000 AS h FROM lineitem), c AS (SELECT *, TRY_CAST(h AS BIGINT) AS big FROM b)
+  SELECT l_orderkey, k, CASE WHEN l_orderkey = 0 THEN CAST(0 AS BIGINT) END AS p, TRY_CAST(CAST(big AS HUGEINT) + 9223372036854775800 AS BIGINT) AS s, TRY_CAST(-9223372036854775800 - CAST(big AS HUGEINT) AS BIGINT) AS d,
+  -k AS n, big // 7 AS q FROM c""")
+_q("bad_dates", lambda t: t.orders.extend({"d": "(o_orderkey % 3 == 0).if_else('no date', '1995-02-27')"}).extend({"w": "d.dayofweek()", "y": "d.year()", "day": "d.datetime_to_date()", "k": "date_diff(d, '1995-02-25')", "p": "d.parse_date()"})
+   .select_columns(["o_orderkey", "w", "y", "day", "k", "p"]),
+   """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(2 AS BIGINT) END AS w, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(1995 AS BIGINT) END AS y,
+  CASE WHEN o_orderkey % 3 <> 0 THEN DATE '1995-02-27' END AS day, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(2 AS BIGINT) END AS k, CASE WHEN o_orderkey % 3 <> 0 THEN DATE '1995-02-27' END AS p FROM orders""")
+_q("empty_group_sum", lambda t: t.nation.select_rows("n_nationkey < 0").project({"n": "(1).sum()", "s": "n_nationkey.sum()"}), "SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS s")
 _q("uniform", lambda t: t.nation.extend({"u": "_uniform()"}).extend({"ok": "u >= 0 and u < 1"}).select_columns(["n_nationkey", "ok"]), "SELECT n_nationkey, true AS ok FROM nation")
 _q("group_min_max", lambda t: t.events.project({"lo": "value.min()", "hi": "value.max()"}, group_by=["user_id"]), "SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
 _q("duplicate_rows", lambda t: t.lineitem.select_columns(["l_suppkey", "l_quantity", "l_tax"]).extend({"n": "(1).sum()"}, partition_by=["l_suppkey", "l_quantity", "l_tax"]).select_rows("n > 1").drop_columns(["n"]),
    "SELECT l_suppkey, l_quantity, l_tax FROM (SELECT l_suppkey, l_quantity, l_tax, count(*) OVER (PARTITION BY l_suppkey, l_quantity, l_tax) AS n FROM lineitem) WHERE n > 1")
-# joins of all customers, whose sides share three segments of five
-
-
-def _ab_whole(t: _Tables) -> tuple[Plan, Plan]:
-    a = t.customer.select_rows("c_mktsegment != 'BUILDING'").extend({"k": "c_custkey", "bal": "(c_acctbal > 5000).if_else(None, c_acctbal)"}).select_columns(["k", "bal", "c_name"])
-    b = t.customer.select_rows("c_mktsegment != 'MACHINERY'").extend({"k": "c_custkey", "bal": "c_acctbal + 1"}).select_columns(["k", "bal", "c_mktsegment"])
-    return a, b
-
-
-_AB_WHOLE = """a AS (SELECT c_custkey AS k, CASE WHEN NOT c_acctbal > 5000 THEN c_acctbal END AS bal, c_name FROM customer WHERE c_mktsegment <> 'BUILDING'),
-  b AS (SELECT c_custkey AS k, c_acctbal + 1 AS bal, c_mktsegment FROM customer WHERE c_mktsegment <> 'MACHINERY')"""
-for _name, _kind in (("join_inner", "INNER"), ("join_left_coalesce", "LEFT"), ("join_right", "RIGHT"), ("join_full", "FULL"), ("join_outer", "OUTER")):
-    _q(f"{_name}_whole", lambda t, kind=_kind: (lambda a, b: a.natural_join(b, on="k", jointype=kind))(*_ab_whole(t)),
-       f"WITH {_AB_WHOLE} SELECT coalesce(a.k, b.k) AS k, coalesce(a.bal, b.bal) AS bal, c_name, c_mktsegment FROM a {'FULL' if _kind == 'OUTER' else _kind} JOIN b ON a.k = b.k")
 __all__ = ["ORACLES", "QUERIES", "Lit", "call", "pricing_summary"]

@@ -38,6 +38,10 @@ class SparkHandle:
     def read_query(self, query: Plan | str) -> DataFrame:
         return self.spark.sql(query) if isinstance(query, str) else evaluate(query, {n: t.frame if t.frame is not None else self.spark.table(n) for n, t in query.tables().items()})
 
+    def to_sql(self, plan: Plan, options=None) -> str:
+        """The plan as Spark SQL over the catalogue's tables."""
+        return plan.to_sql({n: t.frame if t.frame is not None else self.spark.table(n) for n, t in plan.tables().items()}, options)
+
     def insert_table(self, frame, name: str, *, allow_overwrite: bool = False) -> Table:
         df = frame if isinstance(frame, DataFrame) else from_pandas(self.spark, frame)
         if self.table_exists(name) and not allow_overwrite:

@@ -79,7 +79,7 @@ def test_locf_braid_components_replicate(spark):
     e = describe_table(from_rows(spark, {"f": [1, 4, 6, 2, 1], "g": [2, 5, 7, 3, 7]}))
     assert [r.c for r in e.extend({"c": connected_components(col("f"), col("g"))}).order_rows(["f", "g"]).ex().collect()] == [1, 1, 1, 4, 1]
     n = describe_table(from_rows(spark, {"key": list("abcz"), "n": [1, 2, 3, 0]}))
-    assert S.replicate_rows(n, count_column="n")().count() == 6
+    assert S.replicate_rows(n, count_column="n").ex().count() == 6
 
 
 def test_records_both_ways(spark):

@@ -20,10 +20,10 @@ def test_components_of_all_rows(spark):
         a, b = sorted((root(f), root(g)))
         up[b] = a
     want = sorted((o, n, root(f)) for o, n, f, _ in edges)
-    assert sorted(map(tuple, entry.queries()["connected_components_whole"](spark, SF).collect())) == want
+    assert sorted(map(tuple, entry.queries()["connected_components"](spark, SF).collect())) == want
 
 
-@pytest.mark.parametrize("name", ["join_inner_whole", "join_left_coalesce_whole", "join_right_whole", "join_full_whole", "join_outer_whole"])
+@pytest.mark.parametrize("name", ["join_inner", "join_left_coalesce", "join_right", "join_full", "join_outer"])
 def test_joins_of_all_customers(spark, name):
     folder = "/root/testdata/sf0.01"
     c = duckdb.connect()
@@ -32,4 +32,4 @@ def test_joins_of_all_customers(spark, name):
     want = c.sql(f"SELECT k, bal, c_name, c_mktsegment FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(got, key=repr) == sorted(want, key=repr)
     everyone, both = c.sql("SELECT count(*), count(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) FROM customer").fetchall()[0]
-    assert len(got) > 150 and (len(got) == everyone if name in ("join_full_whole", "join_outer_whole") else both <= len(got) < everyone)
+    assert len(got) > 150 and (len(got) == everyone if name in ("join_full", "join_outer") else both <= len(got) < everyone)
