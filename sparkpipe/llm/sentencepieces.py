@@ -6,7 +6,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import chain, count, repeat
 from struct import pack
 
 import numpy as np
@@ -21,7 +21,7 @@ SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Stands for a space mark that the text itself holds: a lone surrogate, which no text has.
 _OWN = "\ud800"
-#: Distinct chunks, and their characters, that a worker remembers before it starts anew: some 60 MB.
+#: Distinct chunks, and their characters, that a worker remembers: some 60 MB.
 CACHE_CHUNKS, CACHE_CHARS = 200_000, 4_000_000
 #: Chunks of more characters are solved one by one, all others together.
 SHORT = 48
@@ -42,6 +42,8 @@ class _Trie:
         place = {c: i for i, c in enumerate(letters, 1)}
         keys = np.array([node[p[:-1]] * self.width + place[p[-1]] for p in prefixes], dtype=np.int64)
         self.score = np.array([np.nan] + [pieces[p][0] if p in pieces else np.nan for p in prefixes])
+        self.goes_on = np.zeros(len(prefixes) + 1, dtype=bool)
+        self.goes_on[[node[p[:-1]] for p in prefixes]] = True
         self.bits = max(4, int(4 * len(keys)).bit_length())
         self.keys, self.nodes = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int32)
         todo, at = np.arange(len(keys)), self._slot(keys)
@@ -96,6 +98,20 @@ class PieceLattice:
         self.known: dict[str, int] = {}
         self.held = 0
         self.scores, self.losses, self.ids = np.zeros(0), np.zeros(0), []
+        self.uses = np.zeros(0, dtype=np.int64)
+
+    def _make_room(self) -> None:
+        """Of a full cache the chunks stay that came up again, at most half of what it holds."""
+        keep = np.flatnonzero(self.uses > 1)
+        if 2 * len(keep) > CACHE_CHUNKS:
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE_CHUNKS // 2])
+        names = list(self.known)  # in the order of their places
+        self.known = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.held = sum(map(len, self.known))
+        self.scores, self.losses, self.uses = self.scores[keep], self.losses[keep], self.uses[keep] // 2
+        self.ids = [self.ids[i] for i in keep.tolist()]
+        if self.held > CACHE_CHARS:
+            self.forget()
 
     def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each end, the (start, score, ids) of the edges that lead there, longest first."""
@@ -163,62 +179,69 @@ class PieceLattice:
         return best[-1], best[-1] - second[-1]
 
     def solve(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Best scores, and what the second best lose: the forward Viterbi of many short chunks at once."""
+        """Best scores, and what the second best lose: the forward Viterbi of many short chunks at once.
+
+        Tables have a row for each place and a column for each chunk, the longest first, so that the chunks that reach a
+        place are the first columns.  At a place all chunks walk the trie together, and each piece relaxes its end.
+        """
         lens = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        order = np.argsort(-lens, kind="stable")
+        column = np.empty(len(chunks), dtype=np.int64)
+        column[order] = np.arange(len(chunks))
+        longest = int(lens.max())
+        reach = np.searchsorted(-lens[order], -np.arange(longest + 2), side="right")  # chunks of so many letters at least
         code = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        letter = self.trie.letter[code]
-        first = np.cumsum(lens) - lens
-        place = np.arange(len(code)) - np.repeat(first, lens)
-        left = np.repeat(lens, lens) - place
-        point = np.arange(len(code)) + np.repeat(np.arange(len(chunks)), lens)  # a chunk has a point more than letters
-        walk, node = np.arange(len(code)), np.zeros(len(code), dtype=np.int32)
-        starts, widths, scores = [], [], []
-        for depth in range(1, self.longest + 1):
-            node = self.trie.step(node, letter[walk + depth - 1])
-            score = self.trie.score[node]
-            piece = ~np.isnan(score)
-            if depth == 1:
-                piece, score = np.ones(len(walk), dtype=bool), np.where(piece, score, self.unknown)
-            starts.append(walk[piece])
-            widths.append(np.full(np.count_nonzero(piece), depth))
-            scores.append(score[piece])
-            on = (node > 0) & (left[walk] > depth)
-            walk, node = walk[on], node[on]
-            if not len(walk):
-                break
-        start, width, score = np.concatenate(starts), np.concatenate(widths), np.concatenate(scores)
-        total = len(code) + len(chunks)
-        order = np.argsort((place[start] + width) * total + point[start] + width, kind="stable")
-        start, width, score = start[order], width[order], score[order]
-        source, target, end = point[start], point[start] + width, place[start] + width
-        best, second = np.full(total, -np.inf), np.full(total, -np.inf)
-        best[first + np.arange(len(chunks))] = 0.0
-        cuts = np.searchsorted(end, np.arange(1, end[-1] + 2))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            at = target[lo:hi]
-            group = np.flatnonzero(np.diff(at, prepend=-1))
-            new = best[source[lo:hi]] + score[lo:hi]
-            most = np.maximum.reduceat(new, group)
-            counts = np.diff(group, append=hi - lo)
-            winners = np.flatnonzero(new == np.repeat(most, counts))
-            winners = winners[np.diff(at[winners], prepend=-1) != 0]  # one a point: an equal one is the second best
-            new[winners] = -np.inf
-            best[at[group]] = most
-            second[at[group]] = np.maximum(np.maximum.reduceat(new, group), np.maximum.reduceat(second[source[lo:hi]] + score[lo:hi], group))
-        last = first + np.arange(len(chunks)) + lens
-        return best[last], best[last] - second[last]
+        letters = np.zeros((longest, len(chunks)), dtype=np.int32)
+        letters[np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens), np.repeat(column, lens)] = self.trie.letter[code]
+        best, second = np.full((longest + 1, len(chunks)), -np.inf), np.full((longest + 1, len(chunks)), -np.inf)
+        best[0] = 0.0
+        for at in range(longest):
+            here = np.arange(reach[at + 1])
+            node = self.trie.step(np.zeros(len(here), dtype=np.int32), letters[at, : len(here)])
+            for end in range(at + 1, min(longest, at + self.longest) + 1):
+                score = self.trie.score[node]
+                piece = ~np.isnan(score)
+                if end == at + 1:  # each letter is an edge
+                    score, to = np.where(piece, score, self.unknown), here
+                else:
+                    score, to = score[piece], here[piece]
+                new, old = best[at, to] + score, best[end, to]
+                second[end, to] = np.maximum(np.maximum(second[end, to], second[at, to] + score), np.minimum(old, new))
+                best[end, to] = np.maximum(old, new)
+                on = self.trie.goes_on[node] & (node > 0)
+                on[np.searchsorted(here, reach[min(end + 1, longest + 1)]) :] = False  # chunks that end here
+                here, node = here[on], node[on]
+                if not len(here):
+                    break
+                node = self.trie.step(node, letters[end, here])
+                there = node > 0
+                here, node = here[there], node[there]
+        ends = best[lens, column]
+        return ends, ends - second[lens, column]
 
     def _letter(self, letter: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in (SPACE if letter == _OWN else letter).encode("utf-8", "replace"))
 
     def _model_ids(self, chunks: list[str]) -> list[bytes]:
         """The library's own ids (little-endian int32) of each chunk; the lattice's best where they don't give it back."""
-        plain = [c[1:].replace(SPACE, " ") if c[0] == SPACE and _OWN not in c else "" for c in chunks]
-        out = []
-        for chunk, text, ids in zip(chunks, plain, self.library.encode(plain, num_threads=1), strict=True):
-            if b"".join(self.raw.get(i, b"") for i in ids) != b" " + text.encode("utf-8", "replace") or not text and chunk != SPACE:
-                ids = self.n_best(chunk, 1)[0][1]
-            out.append(pack(f"<{len(ids)}i", *ids))
+        texts = "\n".join(chunks)
+        plain = texts.replace(SPACE, " ").split("\n") if texts.count("\n") == len(chunks) - 1 else [c.replace(SPACE, " ") for c in chunks]
+        ids = self.library.encode([t[1:] if _OWN not in t else "" for t in plain], num_threads=1)
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), dtype="<i4", count=int(sizes.sum()))
+        raw = list(map(self.raw.get, flat.tolist(), repeat(b"")))
+        stops = np.cumsum(sizes)
+        packed = flat.tobytes()
+        out = [packed[a:b] for a, b in zip((4 * (stops - sizes)).tolist(), (4 * stops).tolist(), strict=True)]
+        code = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        width = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        given = np.concatenate(([0], np.cumsum(width)))[np.cumsum(np.fromiter(map(len, plain), dtype=np.int64, count=len(plain)))]
+        made = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)))))[stops]
+        if not np.array_equal(given, made) or b"".join(raw) != "".join(plain).encode("utf-8", "replace") or _OWN in texts:
+            for i, (chunk, text) in enumerate(zip(chunks, plain, strict=True)):
+                if _OWN in chunk or b"".join(self.raw.get(x, b"") for x in ids[i]) != text.encode("utf-8", "replace"):
+                    best = self.n_best(chunk, 1)[0][1]
+                    out[i] = pack(f"<{len(best)}i", *best)
         return out
 
     def learn(self, chunks: list[str]) -> None:
@@ -230,6 +253,7 @@ class PieceLattice:
         self.known |= {c: i for i, c in enumerate(short + long, len(self.ids))}
         self.scores, self.losses = np.concatenate((self.scores, best, alone[:, 0])), np.concatenate((self.losses, loss, alone[:, 1]))
         self.ids += self._model_ids(short + long)
+        self.uses = np.concatenate((self.uses, np.zeros(len(chunks), dtype=np.int64)))
         self.held += sum(map(len, chunks))
 
     def chunks(self, text: str) -> list[str]:
@@ -240,13 +264,19 @@ class PieceLattice:
     def encode_all(self, texts: list[str], n: int) -> Iterator[tuple[bytes, list[tuple[float, dict[int, tuple[int, ...]]]]]]:
         """encode_n_best of each text; their new chunks are solved together."""
         if len(self.known) > CACHE_CHUNKS or self.held > CACHE_CHARS:
-            self.forget()
+            self._make_room()
         taken = [self.chunks(t) for t in texts]
-        new = dict.fromkeys(c for chunks in taken for c in chunks if c not in self.known)
+        new = set(chain.from_iterable(taken)).difference(self.known)
         if new:
             self.learn(list(new))
-        for chunks in taken:
-            yield self._n_best_of(chunks, n)
+        places = [list(map(self.known.__getitem__, chunks)) for chunks in taken]
+        where = np.fromiter(chain.from_iterable(places), dtype=np.int64, count=sum(map(len, places)))
+        np.add.at(self.uses, where, 1)
+        scores, losses, at = self.scores[where], self.losses[where], 0
+        for chunks, place in zip(taken, places, strict=True):
+            ids, end = b"".join(map(self.ids.__getitem__, place)), at + len(place)
+            yield ids, self._n_best_of(chunks, float(scores[at:end].sum()), losses[at:end], n)
+            at = end
 
     def encode(self, text: str, n: int) -> tuple[bytes, list[float]]:
         """The model's ids (little-endian int32) and the n best scores of the whole text's lattice."""
@@ -261,24 +291,17 @@ class PieceLattice:
         """
         return next(self.encode_all([text], n))
 
-    def _n_best_of(self, chunks: list[str], n: int) -> tuple[bytes, list[tuple[float, dict[int, tuple[int, ...]]]]]:
-        if not chunks:
-            return b"", [(0.0, {})]
-        at = list(map(self.known.__getitem__, chunks))
-        where = np.array(at)
-        ids = b"".join(map(self.ids.__getitem__, at))
-        total, loss = float(self.scores[where].sum()), self.losses[where]
+    def _n_best_of(self, chunks: list[str], total: float, loss: np.ndarray, n: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
         few = min(n - 1, len(loss))
         paths: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
         if few > 0:
-            edge = np.partition(loss, few - 1)[few - 1]
-            near = np.flatnonzero(loss <= edge)
+            near = np.flatnonzero(loss <= np.partition(loss, few - 1)[few - 1])
             near = near[np.argsort(loss[near], kind="stable")][:few]
             for i in sorted(near[np.isfinite(loss[near])].tolist()):
                 found = self.n_best(chunks[i], n)
                 more = [(lost + found[0][0] - s, c if k == 0 else c | {i: p}) for lost, c in paths for k, (s, p) in enumerate(found)]
                 paths = sorted(more, key=lambda x: x[0])[:n]
-        return ids, [(total - lost, c) for lost, c in paths]
+        return [(total - lost, c) for lost, c in paths]
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation, the inverse of encode."""
