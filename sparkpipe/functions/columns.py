@@ -70,8 +70,8 @@ class Expressions:
     F and W are pyspark's functions and windows, or what writes their SQL.
     """
 
-    def __init__(self, df: DataFrame, *, text: bool = False):
-        self.df, self.text = df, text
+    def __init__(self, df: DataFrame, *, text: bool = False, templates: dict[str, str] | None = None):
+        self.df, self.text, self.templates = df, text, templates or {}
         self.F, self.W = (SqlFunctions(), SqlWindow()) if text else (functions, Window)
         self._types = {f.name: f.dataType for f in df.schema}
         self._kinds: dict[int, tuple[object, str]] = {}
@@ -130,7 +130,7 @@ class Expressions:
         spec = lookup(t.op)
         if "e" not in spec.contexts and t.op != "_uniform":
             raise ValueError(f"{t.op} must be the outermost function of its assignment")
-        if spec.user:
+        if spec.user or t.op in self.templates:
             return self.user(t, spec)
         if t.op == "_uniform":
             return self.F.rand()
@@ -149,9 +149,10 @@ class Expressions:
         args = [self.column(a) for a in t.args]
         if not self.text:
             return spec.build(*args)
-        if spec.sql is None:
+        template = self.templates.get(t.op, spec.sql)
+        if template is None:
             raise ValueError(f"{t.op} was registered without SQL text")
-        return Sql(spec.sql.format(*(a.text for a in args)))
+        return Sql(template.format(*(a.text for a in args)))
 
     def do_is_in(self, t: Call) -> Column:
         x, values = self.column(t.args[0]), [self.value(v) for v in t.args[1].values]
@@ -200,7 +201,7 @@ class Expressions:
 
     def aggregate(self, t: Call) -> Column:
         F, spec = self.F, lookup(t.op)
-        if spec.user:
+        if spec.user or t.op in self.templates:
             return self.user(t, spec)
         if t.op in ("_count", "_size", "size"):
             return F.count(F.lit(1))

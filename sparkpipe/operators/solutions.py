@@ -65,11 +65,19 @@ def xicor(plan: Plan, *, x: str, y: str, group_by=(), tie_break=(), result: str
     return p.extend({result: "1 - _n * _steps / (2 * _widths)"}).select_columns([*group, result])
 
 
-def xicor_score_variables(plan: Plan, *, x_vars, y: str, row_key: str, variable: str = "variable", result: str = "xicor") -> Plan:
-    """xicor of y on each of several variables, by one unpivot."""
+def xicor_score_variables(plan: Plan, *, x_vars, y: str, row_key: str, variable: str = "variable", result: str = "xicor", repetitions: int | None = None) -> Plan:
+    """xicor of y on each of several variables, by one unpivot.
+
+    Ties of a variable go by row_key, once; or, with repetitions, by chance, that many times: the result then has their
+    mean and standard deviation per variable, `<result>_mean` and `<result>_std`.
+    """
     shape = RecordSpecification({variable: list(x_vars), "_x": list(x_vars)}, (row_key, y), (variable,))
     long = plan.select_columns([row_key, y, *x_vars]).convert_records(shape.map_from_rows())
-    return xicor(long, x="_x", y=y, group_by=[variable], tie_break=[row_key], result=result)
+    if repetitions is None:
+        return xicor(long, x="_x", y=y, group_by=[variable], tie_break=[row_key], result=result)
+    many = long.extend({"_times": Lit(int(repetitions))}).replicate_rows("_times", seq_column="_rep").extend({"_chance": "_uniform()"})
+    each = xicor(many, x="_x", y=y, group_by=[variable, "_rep"], tie_break=["_chance", row_key], result=result)
+    return each.project({f"{result}_mean": col(result).mean(), f"{result}_std": col(result).std()}, group_by=[variable])
 
 
 __all__ = ["braid", "last_observed_carried_forward", "multi_column_map", "rank_to_average", "replicate_rows", "table", "xicor", "xicor_score_variables"]

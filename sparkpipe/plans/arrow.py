@@ -60,3 +60,10 @@ class Arrow:
 
 def identity(columns, name: str = "data_frame") -> Arrow:
     return Arrow(Table(name, tuple(columns)))
+
+
+def fmt_as_arrow(plan: Plan) -> str:
+    """A plan of one table as the arrow that it is: its columns, the steps, and the columns that come out."""
+    arrow = Arrow(plan)
+    steps = plan.to_python(pretty=True).split("\n")
+    return "\n".join([f"[ {', '.join(map(repr, sorted(arrow.dom())))}", "  ->", *(f"  {x}" for x in steps), "  ->", f"  {', '.join(map(repr, sorted(arrow.cod())))} ]"])

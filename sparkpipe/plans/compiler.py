@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -75,13 +75,19 @@ def _extend(p: N.Extend, df: DataFrame) -> DataFrame:
     monotone = {k: t for k, t in p.ops if t.op.startswith("is_monotonic")}
     grouped = {k: t for k, t in p.ops if t.op == "_ngroup"}
     rest = {k: t for k, t in p.ops if k not in monotone and k not in grouped}
-    if not p.partition_by and not p.order_by and all(t.op not in ("rank",) for t in rest.values()) and not grouped:
-        # one row of totals beside all rows, instead of all rows in one task
-        free = _free(df)
-        names = {k: free(f"_{i}") for i, k in enumerate(rest)}
-        totals = df.agg(*[_global(e, t).alias(names[k]) for k, t in rest.items()])
-        both = df.crossJoin(F.broadcast(totals))
-        return _assigned(both, p.columns, {k: quoted(n) for k, n in names.items()})
+    if not p.partition_by:
+        for k in [k for k, t in rest.items() if t.op == "rank" or t.op in ("_row_number", "cumcount") and p.order_by]:
+            name = _free(df)(f"_{k}")
+            df = _by_ranges(df, name, rest.pop(k), order)
+            made[k] = quoted(name)
+        if rest and not p.order_by:
+            # one row of totals beside all rows, instead of all rows in one task
+            e, free = Expressions(df), _free(df)
+            names = {k: free(f"_{i}") for i, k in enumerate(rest)}
+            totals = df.agg(*[_global(e, t).alias(names[k]) for k, t in rest.items()])
+            df, rest = df.crossJoin(F.broadcast(totals)), {}
+            made |= {k: quoted(n) for k, n in names.items()}
+    e = Expressions(df)
     for k, t in monotone.items():
         x, part = e.column(t.args[0]), Window.partitionBy(*map(quoted, p.partition_by))
         before = F.lag(x).over(part.orderBy(*order))
@@ -98,25 +104,37 @@ def _extend(p: N.Extend, df: DataFrame) -> DataFrame:
         else:
             free = _free(out)
             at, number = [free(f"_k{i}") for i in range(len(keys))], free("_n")
-            numbered = numbered_rows(df.select(*map(quoted, keys)).distinct(), keys, number)
+            numbered = numbered_rows(df.select(*map(quoted, keys)).distinct(), [quoted(k).asc_nulls_last() for k in keys], number)
             numbered = numbered.select(*[quoted(k).alias(n) for k, n in zip(keys, at, strict=True)], quoted(number))
             match = [quoted(k).eqNullSafe(quoted(n)) for k, n in zip(keys, at, strict=True)]
             out = _assigned(out.join(numbered, match, "left"), p.columns, {k: quoted(number) for k in grouped})
     return out.select(*map(quoted, p.columns))
 
 
-def numbered_rows(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """df with the place of each row by keys, nulls last, from 0: ranges of keys are numbered side by side, and each goes
-    on where those before it end."""
+def numbered_rows(df: DataFrame, order: list[Column], name: str, amount: Column | None = None) -> DataFrame:
+    """df with what the rows before each, by order, amount to: ranges of rows are summed side by side, and each goes on
+    where those before it end.  Each row amounts to 1 if nothing else is said, so that rows are numbered from 0."""
     free = _free(df)
-    part, rows, before = free("_part"), free("_rows"), free("_before")
-    order = [quoted(k).asc_nulls_last() for k in keys]
-    ranged = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
-    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(rows))  # a row a partition
-    starts = counts.select(quoted(part).alias(before), F.coalesce(F.sum(quoted(rows)).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(rows))
-    place = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1 + quoted(rows)
+    part, rows, before, own = free("_part"), free("_rows"), free("_before"), free("_own")
+    ranged = df.withColumn(own, F.lit(1).cast("bigint") if amount is None else amount).repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    sums = ranged.groupBy(part).agg(F.sum(quoted(own)).alias(rows))  # a row a partition
+    starts = sums.select(quoted(part).alias(before), F.coalesce(F.sum(quoted(rows)).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(rows))
+    earlier = F.coalesce(F.sum(quoted(own)).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     both = ranged.join(F.broadcast(starts), quoted(part) == quoted(before))
-    return both.select(*map(quoted, df.columns), place.cast("bigint").alias(name))
+    return both.select(*map(quoted, df.columns), (earlier + quoted(rows)).cast("bigint").alias(name))
+
+
+def _by_ranges(df: DataFrame, name: str, t: Call, order: list[Column]) -> DataFrame:
+    """df with a rank or a row number over the whole table, without a task that has all rows."""
+    e, free = Expressions(df), _free(df)
+    if t.op != "rank":
+        numbered = numbered_rows(df, order, name)
+        return numbered if t.op == "cumcount" else _assigned(numbered, numbered.columns, {name: quoted(name) + 1})
+    value, rows, before, again = free("_value"), free("_rows"), free("_before"), free("_again")
+    tied = df.select(e.column(t.args[0]).alias(value)).where(quoted(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias(rows))
+    ranks = numbered_rows(tied, [quoted(value)], before, quoted(rows)).select(F.struct(value).alias(again), (quoted(before) + (quoted(rows) + 1) / 2.0).alias(rows))
+    joined = df.join(ranks, F.struct(e.column(t.args[0]).alias(value)) == quoted(again), "left")  # structs: exchanges that can be split
+    return joined.select(*map(quoted, df.columns), quoted(rows).alias(name))
 
 
 def _global(e: Expressions, t: Call):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import textwrap
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -18,7 +18,10 @@ from .expr import Call, Lit
 
 @dataclass(frozen=True)
 class SqlFormat:
-    """How the text looks: WITH or nested queries, the node beside its query, line layout; what is warned of."""
+    """How the text looks: WITH or nested queries, the node beside its query, line layout; what is warned of.
+
+    templates: SQL that stands in for a function, with {0}, {1} ... for its arguments, by the function's name.
+    """
 
     use_with: bool = True
     annotate: bool = True
@@ -26,6 +29,7 @@ class SqlFormat:
     initial_commas: bool = False
     shared_once: bool = True
     warn_on_user_functions: bool = True
+    templates: dict[str, str] = field(default_factory=dict, hash=False)
 
 
 def to_sql(plan: N.Plan, tables: dict[str, DataFrame] | None = None, options: SqlFormat | None = None) -> str:
@@ -96,7 +100,7 @@ def _order_of(e: Expressions, by, reverse) -> list[Sql]:
 
 def _extend(p: N.Extend, frames, sources, options) -> str:
     (df,), (source,) = frames, sources
-    e = Expressions(df, text=True)
+    e = Expressions(df, text=True, templates=options.templates)
     if any(isinstance(t, Call) and t.op in ("connected_components", "co_equalizer") for _, t in p.ops):
         raise ValueError("graph components have no SQL text")
     if not p.windowed:
@@ -124,7 +128,7 @@ def _project(p: N.Project, frames, sources, options) -> str:
     keys = [quote_identifier(k) for k in p.group_by]
     if not p.ops:
         return _select(keys, f"FROM {sources[0]}", options, distinct=True)
-    e, made = Expressions(frames[0], text=True), {}
+    e, made = Expressions(frames[0], text=True, templates=options.templates), {}
     for name, t in p.ops:
         made[name] = e.aggregate(t)
         if t.op == "sum" and isinstance(t.args[0], Lit) and not keys:
@@ -133,7 +137,7 @@ def _project(p: N.Project, frames, sources, options) -> str:
 
 
 def _select_rows(p: N.SelectRows, frames, sources, options) -> str:
-    where = Expressions(frames[0], text=True).column(p.expr)
+    where = Expressions(frames[0], text=True, templates=options.templates).column(p.expr)
     return _select([quote_identifier(c) for c in p.columns], f"FROM {sources[0]}\nWHERE {where.text}", options)
 
 
@@ -146,7 +150,7 @@ def _renamed(p, frames, sources, options) -> str:
 
 
 def _order(p: N.OrderRows, frames, sources, options) -> str:
-    e = Expressions(frames[0], text=True)
+    e = Expressions(frames[0], text=True, templates=options.templates)
     rest = f"\nORDER BY {', '.join(o.text for o in _order_of(e, p.by, p.reverse))}" if p.by else ""
     rest += f"\nLIMIT {p.limit}" if p.limit is not None else ""
     return _select([quote_identifier(c) for c in p.columns], f"FROM {sources[0]}{rest}", options)
