@@ -392,7 +392,7 @@ def _sunday(e, d: Column) -> Column:
 
 def _week(e, d):
     d = e.day(d)
-    return e.F.greatest(e.F.lit(1), e.F.floor(e.F.datediff(d, _sunday(e, e.F.trunc(d, "year"))) / 7)).cast("bigint")
+    return e.F.when(d.isNotNull(), e.F.greatest(e.F.lit(1), e.F.floor(e.F.datediff(d, _sunday(e, e.F.trunc(d, "year"))) / 7)).cast("bigint"))
 
 
 def _date_part(name: str):
