@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_released: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder beside the warehouse where it is unset."""
+    """spark.checkpoint.dir; in local mode, where it may be unset, a folder beside the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_sparkpipe"
-        spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sparkpipe-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sparkpipe-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path of its own; what is there goes when the driver's Python ends, if not before."""
+    if (own := _own_dir(spark)) not in _released:
+        _released.add(own)
+        atexit.register(_remove, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -30,5 +42,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def release_scratch(spark: SparkSession) -> None:
     """Removes every scratch table of this application; results not yet computed that read them are lost."""
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparkpipe-{spark.sparkContext.applicationId}")
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove(spark: SparkSession, own: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may be gone, and its folder with it
+        pass
