@@ -210,7 +210,9 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
 
 def _blocks(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
     some = [(i, v) for i, v in sums.items() if v.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int32()), pa.array([v.astype("<i8").tobytes() for _, v in some], pa.binary())], ["block", "counts"])
+    for lo in range(0, len(some), 64):
+        part = some[lo : lo + 64]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int32()), pa.array([v.astype("<i8").tobytes() for _, v in part], pa.binary())], ["block", "counts"])
 
 
 def prefix_lengths(n: int, percent: int) -> tuple[int, int]:

@@ -23,7 +23,7 @@ GRADES = 4
 #: hardly any of the features looked at: twice the logarithm of their number.
 MIN_LIFT = 6.0
 #: Words whose features a worker remembers before it starts anew.
-WORD_CACHE = 200_000
+WORD_CACHE = 100_000
 
 
 def features_of(word: str) -> tuple[str, ...]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,17 +37,38 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 BROADCAST_ROWS = 200_000
 
 
-#: Setting, Spark's default, and what takes its place: whole texts in batches of the default size fill an executor.
-ARROW_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"))
+#: Setting, Spark's default, and what takes its place: whole texts in batches of the default size fill an executor,
+#: whose Java side holds a batch of each task outside its heap.
+ARROW_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "1m"))
 
 
 def arrow_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow in small batches; a session that has set a size other than the default keeps it."""
+    """mapInArrow in small batches; a session that has set a size other than the default keeps it.
+
+    Workers live on between tasks, so they give back what they don't use when a task ends.
+    """
     conf = rows.sparkSession.conf
     for key, default, small in ARROW_BATCHES:
         if conf.get(key, None) == default:
             conf.set(key, small)
-    return rows.mapInArrow(run, schema)
+
+    def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return rows.mapInArrow(frugal, schema)
+
+
+def give_back() -> None:
+    """Returns free memory of this process to the system, where its C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc: nothing to return
 
 
 def bounded(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
