@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import Expressions, compatible, quoted
+from ..functions.registry import NEED_ORDER
 from . import nodes as N
 from .expr import Call, Col, Lit
 
@@ -80,13 +81,16 @@ def _extend(p: N.Extend, df: DataFrame) -> DataFrame:
             name = _free(df)(f"_{k}")
             df = _by_ranges(df, name, rest.pop(k), order)
             made[k] = quoted(name)
-        if rest and not p.order_by:
-            # one row of totals beside all rows, instead of all rows in one task
-            e, free = Expressions(df), _free(df)
-            names = {k: free(f"_{i}") for i, k in enumerate(rest)}
-            totals = df.agg(*[_global(e, t).alias(names[k]) for k, t in rest.items()])
-            df, rest = df.crossJoin(F.broadcast(totals)), {}
-            made |= {k: quoted(n) for k, n in names.items()}
+    totals = {k: t for k, t in rest.items() if t.op not in NEED_ORDER and not (t.op == "_count" and p.order_by) and (t.op in ("nunique", "median") or not p.partition_by)}
+    if totals:
+        # aggregates beside all rows: of the whole table, or ones whose window would hold a partition's values in a task
+        e, free = Expressions(df), _free(df)
+        names, keys = {k: free(f"_{i}") for i, k in enumerate(totals)}, {k: free(f"_k{i}") for i, k in enumerate(p.partition_by)}
+        made |= {k: quoted(n) for k, n in names.items()}
+        sums = df.groupBy(*[quoted(k).alias(n) for k, n in keys.items()]).agg(*[_global(e, t).alias(names[k]) for k, t in totals.items()])
+        match = [quoted(k).eqNullSafe(quoted(n)) for k, n in keys.items()]
+        df = df.join(sums, match, "left") if match else df.crossJoin(F.broadcast(sums))
+        rest = {k: t for k, t in rest.items() if k not in totals}
     e = Expressions(df)
     for k, t in monotone.items():
         x, part = e.column(t.args[0]), Window.partitionBy(*map(quoted, p.partition_by))
