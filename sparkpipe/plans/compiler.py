@@ -1,4 +1,5 @@
-"""Plans to DataFrames: one memoised walk, no action."""
+"""Plans to DataFrames: one memoised walk, and no action but where a whole table is numbered or its graph labelled, which
+write scratch tables."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import Expressions, compatible, quoted
 from ..functions.registry import NEED_ORDER
+from ..sources.scratch import stored
 from . import nodes as N
 from .expr import Call, Col, Lit
 
@@ -19,14 +21,31 @@ def compile_plan(plan: N.Plan, tables: dict[str, DataFrame], *, strict: bool = F
     return compiled_nodes(plan, tables, strict=strict)[id(plan)]
 
 
-def compiled_nodes(plan: N.Plan, tables: dict[str, DataFrame], *, strict: bool = False) -> dict[int, DataFrame]:
-    """The lazy DataFrame of every node, by the node's id."""
+def compiled_nodes(plan: N.Plan, tables: dict[str, DataFrame], *, strict: bool = False, types_only: bool = False) -> dict[int, DataFrame]:
+    """The lazy DataFrame of every node, by the node's id.  types_only: frames of the right types that nothing is run for."""
     memo: dict[int, DataFrame] = {}
     for p in plan.nodes():
-        memo[id(p)] = _STEPS[type(p)](p, *[memo[id(s)] for s in p.sources]) if p.sources else _leaf(p, tables, strict)
+        step = _typed if types_only and isinstance(p, N.Extend) else _STEPS.get(type(p))
+        memo[id(p)] = step(p, *[memo[id(s)] for s in p.sources]) if p.sources else _leaf(p, tables, strict)
     return memo
 
 
+def _typed(p: N.Extend, df: DataFrame) -> DataFrame:
+    """The extend's columns by name and type, each window by itself."""
+    e, made = Expressions(df), {}
+    order = [quoted(c).asc_nulls_last() for c in p.order_by]
+    for k, t in p.ops:
+        if isinstance(t, Call) and t.op in ("connected_components", "co_equalizer"):
+            made[k] = quoted(t.args[0].name)
+        elif not p.windowed:
+            made[k] = e.column(t)
+        elif t.op == "_ngroup" or t.op.startswith("is_monotonic"):
+            made[k] = F.lit(None).cast("bigint" if t.op == "_ngroup" else "boolean")
+        else:
+            made[k] = e.windowed(t, list(p.partition_by), order)
+    return _assigned(df, p.columns, made)
+
+
 def _free(*frames: DataFrame) -> Callable[[str], str]:
     """Names that none of the frames has, whatever their case."""
     taken = {c.lower() for f in frames for c in f.columns}
@@ -121,11 +140,15 @@ def numbered_rows(df: DataFrame, order: list[Column], name: str, amount: Column
     free = _free(df)
     part, rows, before, own = free("_part"), free("_rows"), free("_before"), free("_own")
     ranged = df.withColumn(own, F.lit(1).cast("bigint") if amount is None else amount).repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    voids = {c for c, kind in df.dtypes if kind == "void"}  # which no file holds
+    # the ranges hang on a sample, so both uses below must have the same ones
+    ranged = stored(ranged.select(*[quoted(c) for c in ranged.columns if c not in voids]), "ranges")
     sums = ranged.groupBy(part).agg(F.sum(quoted(own)).alias(rows))  # a row a partition
     starts = sums.select(quoted(part).alias(before), F.coalesce(F.sum(quoted(rows)).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(rows))
     earlier = F.coalesce(F.sum(quoted(own)).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     both = ranged.join(F.broadcast(starts), quoted(part) == quoted(before))
-    return both.select(*map(quoted, df.columns), (earlier + quoted(rows)).cast("bigint").alias(name))
+    kept = [F.lit(None).alias(c) if c in voids else quoted(c) for c in df.columns]
+    return both.select(*kept, (earlier + quoted(rows)).cast("bigint").alias(name))
 
 
 def _by_ranges(df: DataFrame, name: str, t: Call, order: list[Column]) -> DataFrame:

@@ -38,7 +38,7 @@ def to_sql(plan: N.Plan, tables: dict[str, DataFrame] | None = None, options: Sq
     ValueError where a step has no SQL: graph components, and user functions that were registered without it.
     """
     options = options or SqlFormat()
-    frames = compiled_nodes(plan, tables or {})
+    frames = compiled_nodes(plan, tables or {}, types_only=True)
     if options.warn_on_user_functions and (own := sorted({op for op, _ in plan.methods_used() if lookup(op).user})):
         warnings.warn(f"the text needs functions of the session: {own}", stacklevel=2)
     names: dict[int, str] = {}

@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 from .functions.registry import functions, register_function
 from .operators import solutions as S
-from .operators.records import RecordMap, RecordSpecification
+from .operators.records import RecordMap, RecordSpecification, pivot_specification, unpivot_specification
 from .plans.expr import Lit, call, col, connected_components
-from .plans.nodes import Plan, describe_table, sql_table
+from .plans.nodes import Plan, describe_table, sql_table, table
+from .plans.schema_check import check_schema
+from .plans.sql import SqlFormat
+from .sources.frames import FORMATS, read_file, write_file
+from .sources.result_cache import ResultCache
+from .sources.scratch import new_path
+from .sources.space import SparkHandle, SparkSpace
+from .streaming import apply_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -319,4 +326,100 @@ _q("uniform", lambda t: t.nation.extend({"u": "_uniform()"}).extend({"ok": "u >=
 _q("group_min_max", lambda t: t.events.project({"lo": "value.min()", "hi": "value.max()"}, group_by=["user_id"]), "SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
 _q("duplicate_rows", lambda t: t.lineitem.select_columns(["l_suppkey", "l_quantity", "l_tax"]).extend({"n": "(1).sum()"}, partition_by=["l_suppkey", "l_quantity", "l_tax"]).select_rows("n > 1").drop_columns(["n"]),
    "SELECT l_suppkey, l_quantity, l_tax FROM (SELECT l_suppkey, l_quantity, l_tax, count(*) OVER (PARTITION BY l_suppkey, l_quantity, l_tax) AS n FROM lineitem) WHERE n > 1")
+
+
+# services: the text of plans, handles, spaces, files, streams, schemas, caches
+
+
+def _view(t: _Tables, *names: str) -> None:
+    for name in names:
+        getattr(t, name).frame.createOrReplaceTempView(name)
+
+
+def _sql_text(t: _Tables) -> DataFrame:
+    _view(t, "lineitem")
+    return t.spark.sql(pricing_summary(t).to_sql())
+
+
+def _sql_text_joined(t: _Tables) -> DataFrame:
+    _view(t, "orders", "customer")
+    paid = t.orders.extend({"place": "_row_number()"}, partition_by=["o_custkey"], order_by=["o_totalprice", "o_orderkey"], reverse=["o_totalprice"]).select_rows("place <= 2")
+    best = paid.natural_join(t.customer.select_columns(["c_custkey", "c_mktsegment"]), on={"o_custkey": "c_custkey"}, jointype="LEFT")
+    return t.spark.sql(best.project({"s": "o_totalprice.sum()", "n": "_size()"}, group_by=["c_mktsegment"]).extend({"s": "s.around(2)"}).to_sql(options=SqlFormat(use_with=False)))
+
+
+def _handle(t: _Tables) -> DataFrame:
+    _view(t, "supplier")
+    with SparkHandle(t.spark) as h:
+        return h.read_query(h.describe_table("supplier").project({"n": "_size()", "top": "s_acctbal.max()"}, group_by=["s_nationkey"]))
+
+
+def _space(t: _Tables) -> DataFrame:
+    with SparkSpace(t.spark) as s:
+        d = s.execute(s.insert(t.part.frame, key="part").select_rows("p_size > 25"), key="large")
+        return s.retrieve(s.execute(d.project({"n": "_size()"}, group_by=["p_brand"]), key="counted").name)
+
+
+def _files(t: _Tables) -> DataFrame:
+    out = None
+    for fmt in FORMATS:
+        path = new_path(t.spark, f"nation-{fmt}")
+        write_file(t.nation.select_columns(["n_nationkey", "n_name"]).ex(), path, fmt)
+        plan = describe_table(read_file(t.spark, path, fmt), fmt).extend({"fmt": Lit(fmt), "n_nationkey": "n_nationkey.as_int64()"}).select_columns(["fmt", "n_nationkey", "n_name"])
+        out = plan if out is None else out.concat_rows(plan, id_column=None)
+    return out.ex()
+
+
+def _stream(t: _Tables) -> DataFrame:
+    """events as a stream, through a stateless plan and a join with a static table, to a table of files."""
+    source, path = new_path(t.spark, "events"), new_path(t.spark, "streamed")
+    frame = t.events.select_columns(["event_id", "user_id", "value"]).ex()
+    frame.write.parquet(source)
+    users = t.events.project({"total": "value.sum()"}, group_by=["user_id"])
+    plan = table("events", frame.columns).select_rows("value > 50").extend({"twice": "value * 2"}).natural_join(table("users", users.columns), on="user_id", jointype="LEFT")
+    stream = apply_stream(plan, t.spark.readStream.schema(frame.schema).parquet(source), users=users.ex())
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(path).select("event_id", F.round("twice", 6).alias("twice"), F.round("total", 4).alias("total"))
+
+
+@check_schema({"d": {"c_custkey": {"bigint", "int"}, "c_acctbal": {"double", "decimal(12,2)"}}}, returns={"rich": "boolean"})
+def _checked(d: DataFrame) -> DataFrame:
+    return describe_table(d).extend({"rich": "c_acctbal > 5000"}).select_columns(["c_custkey", "rich"]).ex()
+
+
+def _cached(t: _Tables) -> DataFrame:
+    plan, cache = t.region.extend({"u": "r_regionkey + 1"}).select_columns(["r_regionkey", "u"]), ResultCache(t.spark)
+    cache.evaluate(plan)
+    return cache.get(plan)
+
+
+def _user_aggregate(t: _Tables) -> DataFrame:
+    register_function("spread", lambda c: F.max(c) - F.min(c), context="p", sql="(max({0}) - min({0}))")
+    return t.supplier.project({"s": call("spread", col("s_acctbal"))}, group_by=["s_nationkey"]).extend({"s": "s.around(4)"}).ex()
+
+
+_PRICING = ORACLES["pricing_summary"]
+_q("sql_text", _sql_text, _PRICING)
+_q("sql_text_joined", _sql_text_joined, """WITH p AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders)
+  SELECT c_mktsegment, round(sum(o_totalprice), 2) AS s, count(*) AS n FROM p LEFT JOIN customer ON o_custkey = c_custkey WHERE place <= 2 GROUP BY 1""")
+_q("handle_query", _handle, "SELECT s_nationkey, count(*) AS n, max(s_acctbal) AS top FROM supplier GROUP BY 1")
+_q("space_execute", _space, "SELECT p_brand, count(*) AS n FROM part WHERE p_size > 25 GROUP BY 1")
+_q("file_formats", _files, "SELECT fmt, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation, (VALUES ('parquet'), ('csv'), ('json'), ('orc')) v(fmt)")
+_q("stream_stateless", _stream, """WITH u AS (SELECT user_id, round(sum(value), 4) AS total FROM events GROUP BY 1)
+  SELECT event_id, round(value * 2, 6) AS twice, total FROM events e JOIN u ON e.user_id = u.user_id WHERE value > 50""")
+_q("schema_checked", lambda t: _checked(t.customer.frame), "SELECT c_custkey, c_acctbal > 5000 AS rich FROM customer")
+_q("result_cache", _cached, "SELECT r_regionkey, CAST(r_regionkey + 1 AS BIGINT) AS u FROM region")
+_q("user_aggregate", _user_aggregate, "SELECT s_nationkey, round(max(s_acctbal) - min(s_acctbal), 4) AS s FROM supplier GROUP BY 1")
+_q("win_ordered_aggregates", lambda t: t.orders.extend({"m": "o_totalprice.mean()", "d": "o_totalprice.median()", "k": "o_orderpriority.nunique()", "n": "o_orderkey.size()", "a": "o_orderstatus.any_value()"}, partition_by=["o_custkey"], order_by=["o_orderkey"])
+   .extend({"m": "m.around(6)", "d": "d.around(6)"}).select_columns(["o_orderkey", "m", "d", "k", "n", "a"]),
+   """SELECT o_orderkey, round(avg(o_totalprice) OVER w, 6) AS m, round(median(o_totalprice) OVER w, 6) AS d, k, count(*) OVER w AS n, max(o_orderstatus) OVER w AS a
+  FROM orders JOIN (SELECT o_custkey AS c, count(DISTINCT o_orderpriority) AS k FROM orders GROUP BY 1) ON c = o_custkey WINDOW w AS (PARTITION BY o_custkey)""")
+_q("rank_whole_table", lambda t: t.orders.extend({"r": "o_custkey.rank()"}, partition_by=1).extend({"n": "_row_number()"}, order_by=["o_orderkey"], reverse=["o_orderkey"]).select_columns(["o_orderkey", "r", "n"]),
+   "SELECT o_orderkey, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0 AS r, row_number() OVER (ORDER BY o_orderkey DESC) AS n FROM orders")
+_q("use_macro", lambda t: t.part.use(lambda p, size: p.select_rows(f"p_size >= {size}"), 45).project({"n": "_size()"}, group_by=["p_size"]), "SELECT p_size, count(*) AS n FROM part WHERE p_size >= 45 GROUP BY 1")
+_q("pivot_constructors", lambda t: t.supplier.select_columns(["s_suppkey", "s_nationkey", "s_acctbal"]).extend({"s_nationkey": "s_nationkey * 1.0"})
+   .convert_records(unpivot_specification(row_keys=["s_suppkey"], col_name_key="what", col_value_key="value", value_cols=["s_nationkey", "s_acctbal"])).extend({"value": "value * 2"})
+   .convert_records(pivot_specification(row_keys=["s_suppkey"], col_name_key="what", col_value_key="value", value_cols=["s_nationkey", "s_acctbal"])),
+   "SELECT s_suppkey, s_nationkey * 2.0::DOUBLE AS s_nationkey, s_acctbal * 2 AS s_acctbal FROM supplier")
+_q("xicor_repetitions", lambda t: S.xicor_score_variables(t.part, x_vars=["p_size"], y="p_retailprice", row_key="p_partkey", repetitions=5).extend({"ok": "xicor_std >= 0"}).select_columns(["variable", "ok"]), "SELECT 'p_size' AS variable, true AS ok")
 __all__ = ["ORACLES", "QUERIES", "Lit", "call", "pricing_summary"]

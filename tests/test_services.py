@@ -197,6 +197,15 @@ def test_ranks_of_a_whole_table(spark):
     assert {x.i: (x.a, x.c) for x in numbered} == {i: (8 - i, 7 - i) for i in range(8)} and {x.i: x.s for x in numbered}[0] == 28
 
 
+def test_numbers_across_many_ranges(spark):
+    """More rows than a sample of the ranges holds, odd names, a column without a type."""
+    n = 60_000
+    frame = spark.range(n, numPartitions=7).select((F.col("id") * 7919 % n).alias("a b"), F.lit(None).alias("c.d"), (F.col("id") % 1000).alias("v"))
+    plan = describe_table(frame).extend({"r": "_row_number()"}, order_by=["a b"]).extend({"k": "v.rank()"}, partition_by=1).extend({"g": "_ngroup()"}, partition_by=["v"])
+    out = plan.ex()
+    assert out.where((F.col("r") != F.col("`a b`") + 1) | (F.col("k") != F.col("v") * 60 + 30.5) | (F.col("g") != F.col("v"))).count() == 0 and out.count() == n
+
+
 def test_names_that_clash(spark):
     d = describe_table(from_rows(spark, {"_r0": [1, 2], "_0": [3, 4], "_k0": [5, 5], "_n": [6, 7], "_row": [8, 9], "_node": [1, 2], "_label": [2, 3]}))
     assert d.natural_join(d, on="_r0").ex().count() == 2 and d.extend({"s": "_0.sum()"}, partition_by=1).ex().collect()[0].s == 7
