@@ -39,7 +39,7 @@ BROADCAST_ROWS = 200_000
 
 #: Setting, Spark's default, and what takes its place: whole texts in batches of the default size fill an executor,
 #: whose Java side holds a batch of each task outside its heap.
-ARROW_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "500"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "1m"))
+ARROW_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "2m"))
 
 
 def arrow_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
@@ -49,7 +49,7 @@ def arrow_rows(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterat
     """
     conf = rows.sparkSession.conf
     for key, default, small in ARROW_BATCHES:
-        if conf.get(key, None) == default:
+        if conf.get(key) == default:
             conf.set(key, small)
 
     def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
