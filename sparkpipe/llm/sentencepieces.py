@@ -6,7 +6,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, count, repeat
+from itertools import chain, compress, count, islice, repeat
 from struct import pack
 
 import numpy as np
@@ -53,6 +53,8 @@ class _Trie:
             here = self.keys[at] == keys[todo]
             self.nodes[at[here]] = todo[here] + 1
             todo, at = todo[~here], (at[~here] + 1) & (len(self.keys) - 1)
+        #: The nodes of single letters.
+        self.first = self.step(np.zeros(self.width, dtype=np.int32), np.arange(self.width))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -71,6 +73,14 @@ class _Trie:
         return out
 
 
+class _Places(dict):
+    """Chunks by the place where their solution is or will be: one that is looked up for the first time gets the next."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = place = len(self)
+        return place
+
+
 class PieceLattice:
     """The lattice of a model's pieces: a segmentation's score is the sum of its pieces' scores.
 
@@ -95,7 +105,7 @@ class PieceLattice:
 
     def forget(self) -> None:
         """Empties the cache of chunks."""
-        self.known: dict[str, int] = {}
+        self.known = _Places()
         self.held = 0
         self.scores, self.losses, self.ids = np.zeros(0), np.zeros(0), []
         self.uses = np.zeros(0, dtype=np.int64)
@@ -106,7 +116,7 @@ class PieceLattice:
         if 2 * len(keep) > CACHE_CHUNKS:
             keep = np.sort(np.argsort(-self.uses, kind="stable")[: CACHE_CHUNKS // 2])
         names = list(self.known)  # in the order of their places
-        self.known = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.known = _Places((names[i], n) for n, i in enumerate(keep.tolist()))
         self.held = sum(map(len, self.known))
         self.scores, self.losses, self.uses = self.scores[keep], self.losses[keep], self.uses[keep] // 2
         self.ids = [self.ids[i] for i in keep.tolist()]
@@ -197,7 +207,7 @@ class PieceLattice:
         best[0] = 0.0
         for at in range(longest):
             here = np.arange(reach[at + 1])
-            node = self.trie.step(np.zeros(len(here), dtype=np.int32), letters[at, : len(here)])
+            node = self.trie.first[letters[at, : len(here)]]
             for end in range(at + 1, min(longest, at + self.longest) + 1):
                 score = self.trie.score[node]
                 piece = ~np.isnan(score)
@@ -245,14 +255,15 @@ class PieceLattice:
         return out
 
     def learn(self, chunks: list[str]) -> None:
-        """Takes new distinct chunks into the cache."""
-        short = [c for c in chunks if len(c) <= SHORT]
-        long = [c for c in chunks if len(c) > SHORT]
-        best, loss = self.solve(short) if short else (np.zeros(0), np.zeros(0))
-        alone = np.array([self._alone(c) for c in long]).reshape(-1, 2)
-        self.known |= {c: i for i, c in enumerate(short + long, len(self.ids))}
-        self.scores, self.losses = np.concatenate((self.scores, best, alone[:, 0])), np.concatenate((self.losses, loss, alone[:, 1]))
-        self.ids += self._model_ids(short + long)
+        """Solves the chunks that have got the next places, in their order."""
+        best, loss = np.zeros(len(chunks)), np.zeros(len(chunks))
+        short = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)) <= SHORT
+        if short.any():
+            best[short], loss[short] = self.solve(list(compress(chunks, short.tolist())))
+        for i in np.flatnonzero(~short).tolist():
+            best[i], loss[i] = self._alone(chunks[i])
+        self.scores, self.losses = np.concatenate((self.scores, best)), np.concatenate((self.losses, loss))
+        self.ids += self._model_ids(chunks)
         self.uses = np.concatenate((self.uses, np.zeros(len(chunks), dtype=np.int64)))
         self.held += sum(map(len, chunks))
 
@@ -266,10 +277,9 @@ class PieceLattice:
         if len(self.known) > CACHE_CHUNKS or self.held > CACHE_CHARS:
             self._make_room()
         taken = [self.chunks(t) for t in texts]
-        new = set(chain.from_iterable(taken)).difference(self.known)
-        if new:
-            self.learn(list(new))
         places = [list(map(self.known.__getitem__, chunks)) for chunks in taken]
+        if len(self.known) > len(self.ids):
+            self.learn(list(islice(self.known, len(self.ids), None)))
         where = np.fromiter(chain.from_iterable(places), dtype=np.int64, count=sum(map(len, places)))
         np.add.at(self.uses, where, 1)
         scores, losses, at = self.scores[where], self.losses[where], 0
