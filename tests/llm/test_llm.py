@@ -474,3 +474,28 @@ def test_pipeline(spark):
     assert {r.doc_id for r in final.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert final.select(F.sum("n_pieces")).first()[0] > 0
     assert os.path.isdir(SF)
+
+
+def test_extra_columns_with_the_operators_own_names(spark, tmp_path):
+    """Columns called as the operators call theirs change nothing."""
+    rows = [(1, "password=Qw3rTy19zXpL and more words here", "en", "a"), (2, LONG, "de", "b"), (3, LONG + "end", "fr", None), (None, None, None, None), (3, "", "en", "a")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = "content cid band label digest version row owner repo spans random number node dims part slot shard size at id k nth h lines flags key set_key sig n_tokens ids scores media pcm y f".split()
+    crowded = plain.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model = toxicity.OrdinalModel({"=words": 9.0}, [1.0, 2.0, 3.0])
+    bench = spark.createDataFrame([(1, "and more words here")], "item_id long, text string")
+    for run in (
+        lambda d: decontaminate.contaminated(d, bench),
+        lambda d: line_dedup.drop_repeated_lines(d).select("doc_id", "text", "n_removed"),
+        lambda d: token_counts.count_tokens(d, path),
+        lambda d: minhash.near_duplicates(d, shingle_words=2),
+        lambda d: minhash.one_of_each(d).select("doc_id", "text"),
+        lambda d: toxicity.score_toxicity(d, model),
+        lambda d: toxicity.keep_clean(d, model).select("doc_id", "text"),
+        lambda d: sentencepieces.digests(d, public_tokenizers.path("piece_bpe_32k.model")),
+        lambda d: sharding.kd_shards(d, shards=2).select("doc_id", "size", "text_crc32"),
+        lambda d: telephony.media_digests(telephony.store_media(d)),
+        lambda d: secrets.scan_secrets(d),
+    ):
+        assert sorted(map(str, run(crowded).collect())) == sorted(map(str, run(plain).collect()))
