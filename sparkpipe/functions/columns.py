@@ -73,8 +73,9 @@ class Expressions:
     def __init__(self, df: DataFrame, *, text: bool = False, templates: dict[str, str] | None = None):
         self.df, self.text, self.templates = df, text, templates or {}
         self.F, self.W = (SqlFunctions(), SqlWindow()) if text else (functions, Window)
-        self._types = {f.name: f.dataType for f in df.schema}
+        self._types: dict[str, T.DataType] | None = None  # asked for when a kind is
         self._kinds: dict[int, tuple[object, str]] = {}
+        self._named: dict[int, tuple[object, str]] = {}
 
     def known(self, c: Column, kind: str) -> Column:
         """c, whose kind needs no analysis from now on."""
@@ -85,7 +86,12 @@ class Expressions:
         return self.df.select(functions.expr(c.text) if self.text else c).schema[0].dataType
 
     def kind(self, c: Column) -> str:
-        return self._kinds[id(c)][1] if id(c) in self._kinds else kind_of(self.type_of(c))
+        if id(c) not in self._kinds:
+            if self._types is None:
+                self._types = {f.name: f.dataType for f in self.df.schema}
+            name = self._named.get(id(c), (c, None))[1]
+            self.known(c, kind_of(self._types[name] if name in self._types else self.type_of(c)))
+        return self._kinds[id(c)][1]
 
     def name(self, column: str) -> Column:
         return self.F.col(quote_identifier(column))
@@ -122,7 +128,9 @@ class Expressions:
 
     def column(self, t: Term) -> Column:
         if isinstance(t, Col):
-            return self.known(self.name(t.name), kind_of(self._types[t.name])) if t.name in self._types else self.name(t.name)
+            c = self.name(t.name)
+            self._named[id(c)] = (c, t.name)
+            return c
         if isinstance(t, Lit):
             return self.value(t.value)
         if not isinstance(t, Call):
