@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
-from ..sources.scratch import stored
+from ..sources.scratch import small_tasks, stored
+
+
+#: Labels that the join with the edges' table may broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,13 +18,21 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star, each a minimum per node and a join back, never a list of neighbours, so that a
     hub with many links is summed in parts.  Joins go by a struct of the node, so that both sides are fresh exchanges,
-    which adaptive execution can split.  Rounds are written to the shared folder.  Self loops and repeated edges are
-    allowed; rows with a null end are ignored; no edges give no rows.
+    which adaptive execution can split.  Rounds and labels are written to the shared folder, in small tasks.  Self loops
+    and repeated edges are allowed; rows with a null end are ignored; no edges give no rows.
     """
-    e = edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    e = stored(e.distinct(), "edges")
-    nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
-    e = e.where("u <> v")
+    spark = edges.sparkSession
+    with small_tasks(spark):
+        e = edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        e = stored(e.distinct(), "edges")
+    with small_tasks(spark, e.count()):
+        nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
+        label = _stars(e.where("u <> v"), most_rounds).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+        return stored(nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+
+
+def _stars(e: DataFrame, most_rounds: int) -> DataFrame:
+    """Edges (u, v) from each node to the smallest of its component, itself left out."""
     mark = None
     key = F.struct("u").alias("k")
     for _ in range(most_rounds):
@@ -38,8 +50,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         e = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    label = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
-    return nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return e
 
 
 def label_edges(df: DataFrame, f: str, g: str, name: str) -> DataFrame:
@@ -48,5 +59,8 @@ def label_edges(df: DataFrame, f: str, g: str, name: str) -> DataFrame:
     end = F.coalesce(quoted(f), quoted(g))
     rest = [quoted(c) for c in df.columns if c != name]
     node, label = (next(n for i in range(len(df.columns) + 1) if (n := base + "_" * i) not in {c.lower() for c in df.columns}) for base in ("_node", "_label"))
-    joined = df.join(labels.select(F.struct("node").alias(node), F.col("label").alias(label)), F.struct(end.alias("node")) == F.col(node), "left")
+    labels = labels.select(F.struct("node").alias(node), F.col("label").alias(label))
+    if labels.count() > BROADCAST_ROWS:
+        labels = labels.hint("merge")  # a file of few MB may hold millions of labels
+    joined = df.join(labels, F.struct(end.alias("node")) == F.col(node), "left")
     return joined.select(*rest, F.coalesce(F.col(label), end).alias(name))

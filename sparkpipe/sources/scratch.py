@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: While tasks are kept small: MB that one reads of files or of a coalesced shuffle, and rows of a shuffle's partition.
+TASK_MB, TASK_ROWS = 8, 250_000
+
+
+@contextmanager
+def small_tasks(spark: SparkSession, rows: int = 0) -> Iterator[None]:
+    """Until it ends, jobs of this session run in more and smaller tasks, whose memory doesn't grow with the input.
+
+    Larger sizes of the session are lowered, and its shuffle partitions raised to hold `rows`; smaller tasks stay as they
+    are.  It holds for what is run meanwhile, as by `stored`, not for what is still lazy when it ends.
+    """
+    conf, size = spark.conf, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    now = {}
+    for key, most in (("spark.sql.files.maxPartitionBytes", TASK_MB), ("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_MB), ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", 4 * TASK_MB)):
+        if size(conf.get(key)) > most << 20:
+            now[key] = f"{most}m"
+    if int(conf.get("spark.sql.shuffle.partitions")) < (parts := -(-rows // TASK_ROWS)):
+        now["spark.sql.shuffle.partitions"] = str(parts)
+    before = {key: conf.get(key) for key in now}
+    try:
+        for key, value in now.items():
+            conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            conf.set(key, value)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Removes every scratch table of this application; results not yet computed that read them are lost."""
     jvm = spark._jvm

@@ -17,6 +17,7 @@ from sparkpipe.plans.schema_check import check_schema, mock_schema, non_null_typ
 from sparkpipe.plans.sql import SqlFormat
 from sparkpipe.sources.frames import from_pandas, from_rows, read_file, write_file
 from sparkpipe.sources.result_cache import ResultCache, frame_digest
+from sparkpipe.sources.scratch import stored
 from sparkpipe.sources.space import SparkHandle, SparkSpace
 from sparkpipe.streaming import apply_stream, streamable
 
@@ -185,6 +186,18 @@ def test_xicor_repetitions(spark):
     assert many["x"].xicor_std > 0 and abs(many["x"].xicor_mean) <= 1
 
 
+def test_components_run_in_small_tasks(spark, monkeypatch):
+    """Whatever the session's sizes; they are as before when it is done."""
+    keys = ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"]
+    before, seen = [spark.conf.get(k) for k in keys], []
+    monkeypatch.setattr("sparkpipe.operators.components.stored", lambda df, name: (seen.append([spark.conf.get(k) for k in keys]), stored(df, name))[1])
+    monkeypatch.setattr("sparkpipe.sources.scratch.TASK_ROWS", 10, raising=False)
+    d = describe_table(spark.range(90).select(F.col("id").alias("f"), (F.col("id") - F.col("id") % 30).alias("g")))
+    assert {(r.f, r.c) for r in d.extend({"c": call("connected_components", col("f"), col("g"))}).ex().collect()} == {(i, i - i % 30) for i in range(90)}
+    assert seen[0] == ["8m", "8m", before[2]] and set(map(tuple, seen[1:])) == {("8m", "8m", "9")}
+    assert [spark.conf.get(k) for k in keys] == before
+
+
 def test_ranks_of_a_whole_table(spark):
     values = [3, None, 1, 3, 2, 2, 2, 9]
     d = describe_table(from_rows(spark, {"i": list(range(8)), "v": values, "_place": list(range(8)), "_part": list(range(8))}))
