@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted
-from ..sources.scratch import small_tasks, stored
-
-
-#: Labels that the join with the edges' table may broadcast.
-BROADCAST_ROWS = 200_000
+from ..sources.scratch import BROADCAST_ROWS, small_tasks, stored
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

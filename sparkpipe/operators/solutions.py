@@ -50,17 +50,22 @@ def multi_column_map(d: Plan, mapping: Plan, *, row_keys, columns, name_key: str
 
 
 def xicor(plan: Plan, *, x: str, y: str, group_by=(), tie_break=(), result: str = "xicor") -> Plan:
-    """Chatterjee's rank correlation of y on x per group.  Ties of x go by tie_break, a total order in place of chance."""
+    """Chatterjee's rank correlation of y on x per group.  Ties of x go by tie_break, a total order in place of chance.
+
+    Groups are numbered, and places and steps are those of the whole table in the groups' order, so that a group of any
+    size is many tasks' work.
+    """
     group = [group_by] if isinstance(group_by, str) else list(group_by)
-    ties, part = [tie_break] if isinstance(tie_break, str) else list(tie_break), group or 1
+    ties = [tie_break] if isinstance(tie_break, str) else list(tie_break)
     p = plan.select_columns(list(dict.fromkeys([*group, x, y, *ties]))).select_rows(f"not (`{x}`.is_null() or `{y}`.is_null())")
-    p = p.extend({"_down": call("neg", col(y))})
-    p = p.extend({"_rank": col(y).rank()}, partition_by=part).extend({"_back": col("_down").rank()}, partition_by=part)
-    p = p.extend({"_same": Lit(1).size()}, partition_by=[*group, y]).extend({"_n": Lit(1).size()}, partition_by=part)
-    # the largest place of a tie, from above and from below
-    p = p.extend({"_r": "_rank + (_same - 1) / 2", "_l": "_back + (_same - 1) / 2"})
-    p = p.extend({"_before": col("_r").shift()}, partition_by=part, order_by=[x, *ties])
-    p = p.extend({"_step": "(_r - _before).abs().coalesce_0()", "_width": "_l * (_n - _l)"})
+    p = p.extend({"_group": "_ngroup()"}, partition_by=group) if group else p.extend({"_group": Lit(0)})
+    # the largest place of a tie, counted on through the groups
+    places = p.project({"_same": Lit(1).sum()}, group_by=["_group", y]).extend({"_place": col("_same").cumsum()}, order_by=["_group", y])
+    ends = places.project({"_n": col("_same").sum(), "_end": col("_place").max()}, group_by=["_group"])
+    p = p.natural_join(places.natural_join(ends, on=["_group"], jointype="INNER"), on=["_group", y], jointype="INNER", hint="merge")
+    p = p.extend({"_before": col("_place").shift()}, order_by=["_group", x, *ties])
+    p = p.extend({"_l": "(_end - _place + _same) * 1.0"})  # places from above
+    p = p.extend({"_step": "(_before > _end - _n).where((_place - _before).abs() * 1.0, 0.0)", "_width": "_l * (_n - _l)"})
     p = p.project({"_n": col("_n").max(), "_steps": col("_step").sum(), "_widths": col("_width").sum()}, group_by=group)
     return p.extend({result: "1 - _n * _steps / (2 * _widths)"}).select_columns([*group, result])
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import Expressions, compatible, quoted
 from ..functions.registry import NEED_ORDER
-from ..sources.scratch import stored
+from ..sources.scratch import BROADCAST_ROWS, small_tasks, stored
 from . import nodes as N
 from .expr import Call, Col, Lit
 
@@ -96,7 +96,7 @@ def _extend(p: N.Extend, df: DataFrame) -> DataFrame:
     grouped = {k: t for k, t in p.ops if t.op == "_ngroup"}
     rest = {k: t for k, t in p.ops if k not in monotone and k not in grouped}
     if not p.partition_by:
-        for k in [k for k, t in rest.items() if t.op == "rank" or t.op in ("_row_number", "cumcount") and p.order_by]:
+        for k in [k for k, t in rest.items() if _goes_by_ranges(e, t, bool(p.order_by))]:
             name = _free(df)(f"_{k}")
             df = _by_ranges(df, name, rest.pop(k), order)
             made[k] = quoted(name)
@@ -129,31 +129,73 @@ def _extend(p: N.Extend, df: DataFrame) -> DataFrame:
             at, number = [free(f"_k{i}") for i in range(len(keys))], free("_n")
             numbered = numbered_rows(df.select(*map(quoted, keys)).distinct(), [quoted(k).asc_nulls_last() for k in keys], number)
             numbered = numbered.select(*[quoted(k).alias(n) for k, n in zip(keys, at, strict=True)], quoted(number))
+            # said, since sizes guessed from files may make df the side to broadcast
+            numbered = F.broadcast(numbered) if numbered.count() <= BROADCAST_ROWS else numbered.hint("merge")
             match = [quoted(k).eqNullSafe(quoted(n)) for k, n in zip(keys, at, strict=True)]
             out = _assigned(out.join(numbered, match, "left"), p.columns, {k: quoted(number) for k in grouped})
     return out.select(*map(quoted, p.columns))
 
 
+def _goes_by_ranges(e: Expressions, t: Call, ordered: bool) -> bool:
+    if t.op == "rank" or not ordered:
+        return t.op == "rank"
+    kind = e.kind(e.column(t.args[0])) if t.op in ("shift", "cumsum") else ""
+    return t.op in ("_row_number", "cumcount") or t.op == "shift" and kind != "null" or t.op == "cumsum" and kind in ("int", "bool")
+
+
+def _ranges(df: DataFrame, order: list[Column], part: str) -> tuple[DataFrame, list[Column]]:
+    """df stored in ranges of the order, with the number of each row's range; and the columns of df from it."""
+    ranged = df.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
+    voids = {c for c, kind in df.dtypes if kind == "void"}  # which no file holds
+    # the ranges hang on a sample, so all uses must have the same ones
+    with small_tasks(df.sparkSession):
+        ranged = stored(ranged.select(*[quoted(c) for c in ranged.columns if c not in voids]), "ranges")
+    return ranged, [F.lit(None).alias(c) if c in voids else quoted(c) for c in df.columns]
+
+
 def numbered_rows(df: DataFrame, order: list[Column], name: str, amount: Column | None = None) -> DataFrame:
     """df with what the rows before each, by order, amount to: ranges of rows are summed side by side, and each goes on
     where those before it end.  Each row amounts to 1 if nothing else is said, so that rows are numbered from 0."""
     free = _free(df)
     part, rows, before, own = free("_part"), free("_rows"), free("_before"), free("_own")
-    ranged = df.withColumn(own, F.lit(1).cast("bigint") if amount is None else amount).repartitionByRange(*order).withColumn(part, F.spark_partition_id())
-    voids = {c for c, kind in df.dtypes if kind == "void"}  # which no file holds
-    # the ranges hang on a sample, so both uses below must have the same ones
-    ranged = stored(ranged.select(*[quoted(c) for c in ranged.columns if c not in voids]), "ranges")
+    ranged, kept = _ranges(df.withColumn(own, F.lit(1).cast("bigint") if amount is None else amount), order, part)
     sums = ranged.groupBy(part).agg(F.sum(quoted(own)).alias(rows))  # a row a partition
     starts = sums.select(quoted(part).alias(before), F.coalesce(F.sum(quoted(rows)).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(rows))
     earlier = F.coalesce(F.sum(quoted(own)).over(Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     both = ranged.join(F.broadcast(starts), quoted(part) == quoted(before))
-    kept = [F.lit(None).alias(c) if c in voids else quoted(c) for c in df.columns]
-    return both.select(*kept, (earlier + quoted(rows)).cast("bigint").alias(name))
+    return both.select(*kept[:-1], (earlier + quoted(rows)).try_cast("bigint").alias(name))
+
+
+def shifted_rows(df: DataFrame, order: list[Column], name: str, x: Column, steps: int) -> DataFrame:
+    """df with x of the row that is `steps` before each by order, behind it if negative: ranges of rows are shifted side by
+    side, and the rows at their edges, which have theirs in another range, look it up by number."""
+    free = _free(df)
+    part, value, tie, rows, before, start, place, near, at, far = map(free, ("_part", "_value", "_tie", "_rows", "_before", "_start", "_place", "_near", "_at", "_far"))
+    ranged, kept = _ranges(df.withColumn(value, x).withColumn(tie, F.monotonically_increasing_id()), order, part)
+    sums = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(rows))  # a row a partition
+    starts = sums.select(quoted(part).alias(before), quoted(rows), (F.sum(quoted(rows)).over(Window.orderBy(part)) - quoted(rows)).alias(start))
+    within = Window.partitionBy(part).orderBy(*order, tie)  # ties fall alike each time
+    both = ranged.join(F.broadcast(starts), quoted(part) == quoted(before))
+    both = both.withColumns({place: F.row_number().over(within), near: F.lag(quoted(value), steps).over(within)}).withColumn(at, quoted(start) + quoted(place))
+    given = quoted(place) > quoted(rows) - steps if steps > 0 else quoted(place) <= -steps
+    edges = both.where(given).select((quoted(at) + steps).alias(before), quoted(value).alias(far))
+    if abs(steps) <= 100:
+        edges = F.broadcast(edges)  # so many rows a range
+    inside = quoted(place) > steps if steps > 0 else quoted(place) <= quoted(rows) + steps
+    both = both.drop(before).join(edges, quoted(at) == quoted(before), "left")
+    return both.select(*kept[:-2], F.when(inside, quoted(near)).otherwise(quoted(far)).alias(name))
 
 
 def _by_ranges(df: DataFrame, name: str, t: Call, order: list[Column]) -> DataFrame:
-    """df with a rank or a row number over the whole table, without a task that has all rows."""
+    """df with a rank, a row number, a shift or a sum of whole numbers over the whole table, without a task that has all rows."""
     e, free = Expressions(df), _free(df)
+    if t.op == "shift":
+        return shifted_rows(df, order, name, e.column(t.args[0]), t.args[1].value if len(t.args) > 1 else 1)
+    if t.op == "cumsum":
+        x = e.column(t.args[0]).cast("bigint")
+        # sums of what comes before are decimals until they are whole: one that no bigint holds is null
+        numbered = numbered_rows(df, order, name, F.coalesce(x, F.lit(0)).cast("decimal(38,0)"))
+        return _assigned(numbered, numbered.columns, {name: F.when(x.isNotNull(), F.try_add(quoted(name), x))})
     if t.op != "rank":
         numbered = numbered_rows(df, order, name)
         return numbered if t.op == "cumcount" else _assigned(numbered, numbered.columns, {name: quoted(name) + 1})

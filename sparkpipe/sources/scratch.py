@@ -41,6 +41,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that a join may broadcast, about 20 MB as a hashed relation.
+BROADCAST_ROWS = 200_000
+
 #: While tasks are kept small: MB that one reads of files or of a coalesced shuffle, and rows of a shuffle's partition.
 TASK_MB, TASK_ROWS = 8, 250_000
 

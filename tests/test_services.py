@@ -1,6 +1,9 @@
 """Handles, spaces, files, streams, schemas, caches, arrows, compositions and the like."""
 
+import bisect
+import itertools
 import pickle
+import re
 
 import pandas as pd
 import pytest
@@ -198,6 +201,36 @@ def test_components_run_in_small_tasks(spark, monkeypatch):
     assert [spark.conf.get(k) for k in keys] == before
 
 
+def test_xicor_of_a_large_group_is_many_tasks(spark):
+    """No window holds a group, and null is a group as others are; against plain Python."""
+    n = 3000
+    data = {"i": list(range(n)), "g": [None if i % 3 else "a" for i in range(n)], "x": [i * 31 % 50 for i in range(n)], "y": [i * 17 % 40 / 4 for i in range(n)]}
+    out = S.xicor(describe_table(from_rows(spark, data)), x="x", y="y", group_by=["g"], tie_break=["i"]).ex()
+    assert "windowspecdefinition(g#" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for g in (None, "a"):
+        own = sorted((x, i, y) for i, h, x, y in zip(*data.values(), strict=True) if h == g)
+        ys = sorted(y for _, _, y in own)
+        r, m = [bisect.bisect_right(ys, y) for _, _, y in own], len(own)
+        left = [m - bisect.bisect_left(ys, y) for _, _, y in own]
+        want[g] = 1 - m * sum(abs(a - b) for a, b in itertools.pairwise(r)) / (2 * sum(k * (m - k) for k in left))
+    assert {r.g: r.xicor for r in out.collect()} == pytest.approx(want)
+
+
+def test_shifts_and_sums_across_many_ranges(spark):
+    """As by one window, with steps that reach over ranges, ties, nulls and a column without a type."""
+    n = 400
+    frame = spark.range(n, numPartitions=5).select("id", (F.col("id") * 7 % n).alias("o"), F.when(F.col("id") % 5 > 0, F.col("id") % 9).alias("v"), F.lit(None).alias("void"))
+    ops = {"a": "v.shift()", "b": "v.shift(-1)", "c": "v.shift(150)", "d": "id.shift(-399)", "e": "v.shift(1000)", "s": "v.cumsum()", "w": "void.shift()"}
+    for down in ([], ["o"]):
+        plan = describe_table(frame, "numbers").extend(ops, order_by=["o"], reverse=down)
+        frame.createOrReplaceTempView("numbers")
+        assert rows(plan.ex()) == rows(spark.sql(plan.to_sql()))
+        assert not re.search(r"windowspecdefinition\(o#", plan.drop_columns(["w"]).ex()._jdf.queryExecution().optimizedPlan().toString())
+    most = describe_table(from_rows(spark, {"i": [1, 2, 3], "v": [2**63 - 1, 1, None]})).extend({"s": "v.cumsum()"}, order_by=["i"])
+    assert [r.s for r in most.order_rows(["i"]).ex().collect()] == [2**63 - 1, None, None]
+
+
 def test_ranks_of_a_whole_table(spark):
     values = [3, None, 1, 3, 2, 2, 2, 9]
     d = describe_table(from_rows(spark, {"i": list(range(8)), "v": values, "_place": list(range(8)), "_part": list(range(8))}))
